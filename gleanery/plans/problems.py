@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.operators import malformed
+from gleanery.operators import canonical, grid, malformed, report_times, spikes
 from gleanery.session import table
 
 
@@ -20,10 +20,43 @@ def p2_loaded(spark: SparkSession, sf: str) -> DataFrame:
     return malformed.valid_lines(malformed.load_report_lines(table(spark, sf, "zspd")))
 
 
+def p4_canonical(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.canonical_readings(table(spark, sf, "weather_report"), table(spark, sf, "station"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.converted(p4_canonical(spark, sf))
+
+
+def p5_implausible(spark: SparkSession, sf: str) -> DataFrame:
+    readings = spikes.readings_of(report_times.reports(table(spark, sf, "weather_report")), p4_canonical(spark, sf))
+    return spikes.implausible(readings).withColumnRenamed("id", "report_id")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_implausible(spark, sf).select("report_id", "field").distinct()
+
+
+def p6_grid(spark: SparkSession, sf: str) -> DataFrame:
+    readings = report_times.reports(table(spark, sf, "weather_report")).select(F.col("station").alias("source"), "at", F.col("temperature").alias("value"))
+    sources = table(spark, sf, "station").select(F.col("icao").alias("source"), F.col("report_every").alias("every"))
+    return grid.regular_grid(readings, sources).withColumnRenamed("source", "station")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p6_grid(spark, sf).filter("status <> 'observed'").select("station", F.date_format("slot", "yyyy-MM-dd HH:mm").alias("slot"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_failures": p2_failures,
     "p2_loaded": p2_loaded,
+    "p4_found": p4_found,
+    "p4_canonical": p4_canonical,
+    "p5_found": p5_found,
+    "p5_implausible": p5_implausible,
+    "p6_found": p6_found,
+    "p6_grid": p6_grid,
 }
 
 ORACLES: dict[str, str] = {}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import seen_keys
+from gleanery.llm import release_index, seen_keys
 from gleanery.session import table
 
 
@@ -16,9 +16,14 @@ def p1_error_rate(spark: SparkSession, sf: str) -> DataFrame:
     return seen_keys.error_rate(table(spark, sf, "download_record"), "torrent_url", "id", hash_bits=32)
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return release_index.repeats(table(spark, sf, "download_record"), "torrent_url", "torrent_name", "batch_no")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_error_rate": p1_error_rate,
+    "p3_found": p3_found,
 }
 
 ORACLES = {

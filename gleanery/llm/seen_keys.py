@@ -16,20 +16,12 @@ run. Other columns of the input, whatever their names, are not touched.
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleanery.session import discard, materialize, scratch_path
-
-
-@dataclass
-class Run:
-    level: int
-    name: str
-    path: str
-    rows: int
+from gleanery.llm.sorted_runs import SortedRuns
+from gleanery.session import materialize
 
 
 @dataclass
@@ -40,47 +32,14 @@ class SeenKeys:
     buckets: int
     fan_out: int = 4
     hash_bits: int = 64
-    block_bytes: int = 8 << 20
     fence_probe_keys: int = 1000
-    levels: list[Run] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.runs = SortedRuns(self.spark, "_h", self.buckets, self.fan_out)
 
     def hash_of(self, key: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(key), 64 - self.hash_bits) if self.hash_bits < 64 else F.xxhash64(key)
 
-    def _write_run(self, keys: DataFrame, level: int) -> Run:
-        name = f"seen_{uuid.uuid4().hex[:12]}"
-        path = scratch_path(self.spark, name)
-        (
-            keys.select("_h", "_key", "_first")
-            .repartition(self.buckets, "_h")
-            .sortWithinPartitions("_h")
-            .write.format("parquet")
-            .option("path", path)
-            .option("parquet.block.size", self.block_bytes)
-            .bucketBy(self.buckets, "_h")
-            .sortBy("_h")
-            .saveAsTable(name)
-        )
-        return Run(level, name, path, self.spark.table(name).count())
-
-    def _drop(self, run: Run) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
-        discard(self.spark, run.path)
-
-    def compact(self) -> None:
-        """Merge the runs of every level that is full into one run of the next level."""
-        level = 0
-        while level <= max((r.level for r in self.levels), default=-1):
-            full = [r for r in self.levels if r.level == level]
-            if len(full) >= self.fan_out:
-                merged = None
-                for run in full:
-                    merged = self.spark.table(run.name) if merged is None else merged.unionByName(self.spark.table(run.name))
-                self.levels = [r for r in self.levels if r.level != level] + [self._write_run(merged, level + 1)]
-                for run in full:
-                    self._drop(run)
-            level += 1
-
     def distinct_keys(self, batch: DataFrame, key: str, order: str) -> DataFrame:
         """(_h, _key, _first): each key of the batch once, with its least order; combined before the shuffle."""
         return (
@@ -102,8 +61,7 @@ class SeenKeys:
         few = None
         if n_keys is not None and n_keys <= self.fence_probe_keys:
             few = [r[0] for r in keys.select("_h").distinct().limit(self.fence_probe_keys).collect()]
-        for run in self.levels:
-            stored = self.spark.table(run.name)
+        for stored in self.runs.tables():
             if few is not None:
                 stored = stored.filter(F.col("_h").isin(few))
             stored = stored.select("_h", F.col("_key").alias("_stored"), F.col("_first").alias("_was"))
@@ -122,11 +80,8 @@ class SeenKeys:
         _hash_only, ...): `_same` is the order of the earlier equal key, `_hash_only` says that the hash alone would have
         called a new key seen."""
         fresh = self.distinct_keys(batch, key, order)
-        if not self.levels:
-            run = self._write_run(fresh, 0)
-            stored = self.spark.table(run.name)
-            if run.rows:
-                self.levels.append(run)
+        if not self.runs.runs:
+            stored = self.runs.append(fresh.select("_h", "_key", "_first"))
             return materialize(
                 stored.select("_h", "_first", F.lit(None).cast(stored.schema["_first"].dataType).alias("_same"), F.lit(False).alias("_hash_only")), "first-keys"
             )
@@ -138,16 +93,9 @@ class SeenKeys:
             ),
             "probed",
         )
-        run = self._write_run(checked.filter(F.col("_same").isNull()), 0)
-        if run.rows:
-            self.levels.append(run)
+        self.runs.append(checked.filter(F.col("_same").isNull()).select("_h", "_key", "_first"))
         return checked
 
-    def close(self) -> None:
-        for run in self.levels:
-            self._drop(run)
-        self.levels = []
-
 
 def epochs(df: DataFrame, order: str, count: int) -> list[Column]:
     """Predicates that cut df into `count` consecutive ranges of order."""
@@ -177,8 +125,8 @@ def replay(df: DataFrame, key: str, order: str, batches: int = 6, fan_out: int =
         answers = again if answers is None else answers.unionByName(again)
         reports = report if reports is None else reports.unionByName(report)
         if i + 1 < batches:
-            store.compact()
-    store.close()
+            store.runs.compact()
+    store.runs.close()
     if answers is None:
         answers = df.select(order).limit(0)
         reports = df.agg(F.count("*").alias("keys"), F.count("*").alias("keys_seen"), F.count("*").alias("hash_only_wrong")).withColumn("batch", F.lit(0))

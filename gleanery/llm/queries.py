@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from gleanery.llm import release_index, seen_keys
-from gleanery.session import table
+from gleanery.llm import garbled, mixing, packing, release_index, seen_keys, tokens
+from gleanery.session import materialize, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -20,10 +20,48 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return release_index.repeats(table(spark, sf, "download_record"), "torrent_url", "torrent_name", "batch_no")
 
 
+def _sized(spark: SparkSession, sf: str, *keep: str) -> DataFrame:
+    return materialize(tokens.with_tokens(table(spark, sf, "documents"), "doc_id", "text", list(keep)), "tokens")
+
+
+def _containers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "container_size").select("container", F.col("capacity_tokens").alias("capacity"))
+
+
+def p7_pack(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(_sized(spark, sf), _containers(spark, sf))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.fill_report(p7_pack(spark, sf), _containers(spark, sf))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sized(spark, sf, "source"), table(spark, sf, "mix_target"))
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(materialize(p8_mix(spark, sf), "mixed"), table(spark, sf, "mix_target"))
+
+
+def p9_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled.find_garbled(table(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_restored(spark, sf).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_error_rate": p1_error_rate,
     "p3_found": p3_found,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 ORACLES = {

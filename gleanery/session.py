@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import gc
 import tempfile
 import uuid
 
@@ -68,6 +67,35 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+class Scratch:
+    """Lineage cuts that are only needed for a while: `keep` writes and reads back like `materialize`, leaving the block
+    removes the files and lets Spark drop the shuffle files of what went out of use."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch_path(self.spark, label)
+        self.paths.append(path)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            discard(self.spark, path)
+        release(self.spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files stay until the driver collects the garbage that refers to them; between the steps of a long job that
+    should not wait for a full heap."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove everything this library has written into the shared folder."""
     discard(spark, f"{shared_dir(spark)}/gleanery")
@@ -75,8 +103,3 @@ def clear_scratch(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def local_scratch_cleanup(path: str) -> None:
-    if os.path.isdir(path):
-        shutil.rmtree(path, ignore_errors=True)

@@ -46,7 +46,8 @@ def class_counts(df: DataFrame, content: str) -> DataFrame:
 
 def find_offset(content: Column, pattern: Column, start: int = 0) -> Column:
     """First offset of pattern at or after start, -1 if it is absent or empty."""
-    at = F.expr("0") + F.call_function("position", pattern, content, F.lit(start + 1))
+    one_per_byte = lambda x: F.decode(x, "ISO-8859-1")  # noqa: E731  position() counts characters
+    at = F.call_function("position", one_per_byte(pattern), one_per_byte(content), F.lit(start + 1))
     return F.when(F.length(pattern) > 0, at - 1).otherwise(F.when(content.isNotNull(), -1))
 
 

@@ -86,7 +86,7 @@ def new_downloads(rows: DataFrame, record: DataFrame, key: str, order: str) -> D
 def payload(name: Column, content: Column, directory: Column, token: Column, number: Column) -> Column:
     """A JSON-RPC call that hands base64 content over; a token, if there is one, stands first among the parameters."""
     options = F.to_json(F.struct(directory.alias("dir"), name.alias("out")))
-    quoted = F.concat(F.lit('"'), F.base64(content), F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.regexp_replace(F.base64(content), r"\s", ""), F.lit('"'))
     secret = F.when(F.coalesce(token, F.lit("")) != "", F.concat(F.lit('"token:'), token, F.lit('"')))
     params = F.concat(F.lit("["), F.concat_ws(",", secret, quoted, F.lit("[]"), options), F.lit("]"))
     return F.concat(F.lit('{"jsonrpc":"2.0","id":"'), number.cast("string"), F.lit('","method":"aria2.addTorrent","params":'), params, F.lit("}"))

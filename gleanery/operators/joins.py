@@ -31,16 +31,23 @@ def asof(left: DataFrame, right: DataFrame, left_on: str, right_on: str, value:
     return found.select(*left.columns, F.when(F.col("_v").isNotNull(), out).alias(into))
 
 
-def contained(inner: DataFrame, outer: DataFrame, inner_key: str, outer_key: str, low: str, high: str, outer_low: str, outer_high: str, width: float) -> DataFrame:
-    """outer_key, members: the sorted keys of the inner intervals that lie inside each outer interval (an empty array if
-    none). An inner interval is looked up in the cell where it begins, an outer one stands in every cell that it covers."""
+def contained_pairs(inner: DataFrame, outer: DataFrame, inner_key: str, outer_key: str, low: str, high: str, outer_low: str, outer_high: str, width: float) -> DataFrame:
+    """outer_key, inner_key of the inner intervals that lie inside each outer interval. An inner interval is looked up in
+    the cell where it begins, an outer one stands in every cell that it covers."""
     cell = lambda c: F.floor(F.col(c) / width).cast("long")
     o = outer.select(F.col(outer_key).alias("_o"), F.col(outer_low).alias("_ol"), F.col(outer_high).alias("_oh"))
     covered = o.filter("_ol <= _oh").withColumn("_cell", F.explode(F.sequence(cell("_ol"), cell("_oh"))))
     i = inner.select(F.col(inner_key).alias("_i"), F.col(low).alias("_l"), F.col(high).alias("_h")).withColumn("_cell", cell("_l"))
-    hits = i.join(covered, "_cell").filter("_l >= _ol and _h <= _oh").groupBy("_o").agg(F.array_sort(F.collect_set("_i")).alias("members"))
+    return i.join(covered, "_cell").filter("_l >= _ol and _h <= _oh").select(F.col("_o").alias(outer_key), F.col("_i").alias(inner_key))
+
+
+def contained(inner: DataFrame, outer: DataFrame, inner_key: str, outer_key: str, low: str, high: str, outer_low: str, outer_high: str, width: float) -> DataFrame:
+    """outer_key, members: the sorted keys of the inner intervals inside each outer one (an empty array if none). For outer
+    intervals with few members; `contained_pairs` has no such bound."""
+    pairs = contained_pairs(inner, outer, inner_key, outer_key, low, high, outer_low, outer_high, width)
+    hits = pairs.groupBy(outer_key).agg(F.array_sort(F.collect_set(inner_key)).alias("members"))
     empty = F.array().cast(hits.schema["members"].dataType)
-    return o.select("_o").join(hits, "_o", "left").select(F.col("_o").alias(outer_key), F.coalesce("members", empty).alias("members"))
+    return outer.select(outer_key).join(hits, outer_key, "left").select(outer_key, F.coalesce("members", empty).alias("members"))
 
 
 def in_ranges(points: DataFrame, ranges: DataFrame, value: str, low: str, high: str, width: float, keep: bool = True) -> DataFrame:

@@ -39,7 +39,7 @@ def callers(roots: DataFrame, edges: DataFrame, root: str = "root", depth: int =
 
 def valid_address(address: Column, low: Column, high: Column) -> Column:
     """Neither null, 0 nor all ones, and within the bounds."""
-    return F.coalesce(~address.cast("decimal(20,0)").isin(*INVALID) & (address >= low) & (address <= high), F.lit(False))
+    return F.coalesce(~address.cast("decimal(20,0)").isin(*(F.lit(str(x)).cast("decimal(20,0)") for x in INVALID)) & (address >= low) & (address <= high), F.lit(False))
 
 
 def recovered_labels(calls: DataFrame, target: str, label: str, order: str, checks: dict[str, Column], last_wins: bool = True) -> tuple[DataFrame, DataFrame]:

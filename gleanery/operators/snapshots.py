@@ -42,6 +42,17 @@ def changed_items(snapshots: DataFrame, item: str, order: str, value: str, skip:
     return found
 
 
+def gaps(rows: DataFrame, group: str, order: str, begin: str, end: str) -> DataFrame:
+    """rows with `gap`: from a row's end to the begin of the next one of its group; null for the last."""
+    return rows.withColumn("gap", F.lead(begin).over(W.partitionBy(group).orderBy(order)) - F.col(end))
+
+
+def block_numbers(rows: DataFrame, group: str, order: str, mark: Column) -> DataFrame:
+    """rows with `block`: how many marked rows stand before it in its group."""
+    marks = F.sum(mark.cast("int")).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return rows.withColumn("block", F.coalesce(marks, F.lit(0)))
+
+
 def chase(roots: DataFrame, memory: DataFrame, key: str, address: str, at: str, target: str, depth: int = 3) -> DataFrame:
     """key, depth, address: the root's own address at 0, then what is stored there, at most `depth` steps. memory holds one
     row (at, target) per readable address; joins are as many as steps, each on the address."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleanery.operators import canonical, grid, malformed, report_times, spikes
+from gleanery.plans import problem_sql
 from gleanery.session import table
 
 
@@ -59,4 +60,4 @@ QUERIES = {
     "p6_grid": p6_grid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"p2_found": problem_sql.P2, "p4_found": problem_sql.P4, "p5_found": problem_sql.P5, "p6_found": problem_sql.P6}

@@ -37,7 +37,7 @@ UNION ALL SELECT line_id, 'CloudExpr' FROM a WHERE (len(sky) = 0 AND NOT cavok)
 
 
 def _wind(x: str) -> str:
-    return f"""CASE WHEN regexp_matches(lower({x}), 'kt|kn|节|海里') THEN 1852 / 3600.0 WHEN regexp_matches(lower({x}), 'km/?h|kph|kilomet|公里') THEN 1 / 3.6
+    return f"""CASE WHEN regexp_matches(lower({x}), '\\bkts?\\b|\\bkn\\b|knot|节|海里') THEN 1852 / 3600.0 WHEN regexp_matches(lower({x}), 'km/?h|kph|kilomet|公里') THEN 1 / 3.6
         WHEN regexp_matches(lower({x}), 'm/s|mps|met(er|re)s? p|米每秒') THEN 1.0 END"""
 
 

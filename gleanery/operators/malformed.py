@@ -18,8 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-START, BARE, QUOTED, CLOSING, BAD = range(5)
-STATES = 5
+START, BARE, QUOTED, CLOSING, BAD, NEW = range(6)  # START: a field begins; NEW: a record begins
+STATES = 6
 OTHER, DELIMITER, QUOTE, END, NOTHING = range(5)
 
 
@@ -27,10 +27,10 @@ def transition_table(multiline: bool) -> np.ndarray:
     """[class of a byte, state before] -> state after. In multiline mode END is a newline, which quotes protect;
     otherwise END is the end of the row, where an open quote is an error of that row only."""
     t = np.empty((5, STATES), np.uint8)
-    t[OTHER] = [BARE, BARE, QUOTED, BAD, BAD]
-    t[DELIMITER] = [START, START, QUOTED, START, BAD]
-    t[QUOTE] = [QUOTED, BARE, CLOSING, QUOTED, BAD]
-    t[END] = [START, START, QUOTED if multiline else START, START, START]
+    t[OTHER] = [BARE, BARE, QUOTED, BAD, BAD, BARE]
+    t[DELIMITER] = [START, START, QUOTED, START, BAD, START]
+    t[QUOTE] = [QUOTED, BARE, CLOSING, QUOTED, BAD, QUOTED]
+    t[END] = [NEW, NEW, QUOTED if multiline else NEW, NEW, NEW, NEW]
     t[NOTHING] = range(STATES)
     return t
 
@@ -45,7 +45,7 @@ def byte_classes(delimiter: str, quote: str | None, end: str | None = None) -> n
     return lut
 
 
-def run_states(classes: np.ndarray, table: np.ndarray, chunk: int = 2048, start: int = START) -> np.ndarray:
+def run_states(classes: np.ndarray, table: np.ndarray, chunk: int = 2048, start: int = NEW) -> np.ndarray:
     """State before each byte, and after the last one (length n + 1)."""
     n = len(classes)
     if n == 0:
@@ -233,7 +233,7 @@ def valid_lines(loaded: DataFrame) -> DataFrame:
 
 
 def chunk_transitions(chunks: DataFrame, content: str = "content", delimiter: str = ",", quote: str = '"') -> DataFrame:
-    """Add `_map binary`: for each of the five states before a chunk of a multi-line file the state after it."""
+    """Add `_map binary`: for each state before a chunk of a multi-line file the state after it."""
     table, lut = transition_table(True), byte_classes(delimiter, quote, "\n")
 
     @F.pandas_udf("binary")
@@ -262,7 +262,7 @@ def split_chunks(chunks: DataFrame, file: str = "path", number: str = "chunk_no"
     """Records of files that were cut into chunks anywhere, quotes and line ends inside quotes respected.
 
     Columns: file, record_at (byte offset of the record in its file), fields array<string>, reason. The maps of the chunks
-    (five bytes each) are composed per file; a chunk then finds the record ends inside it. Every piece between record
+    (six bytes each) are composed per file; a chunk then finds the record ends inside it. Every piece between record
     ends is keyed by the record it belongs to, and the pieces of one record are put together: work per task is bounded
     by the chunk and the longest record.
     """
@@ -270,32 +270,36 @@ def split_chunks(chunks: DataFrame, file: str = "path", number: str = "chunk_no"
     sized = chunk_transitions(chunks, content, delimiter, quote)
     order = W.partitionBy(file).orderBy(number)
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    compose = F.aggregate(F.col("_maps"), F.lit(START), lambda s, m: F.conv(F.hex(F.substring(m, s + 1, F.lit(1))), 16, 10).cast("int"))
+    compose = F.aggregate(F.col("_maps"), F.lit(NEW), lambda s, m: F.conv(F.hex(F.substring(m, s + 1, F.lit(1))), 16, 10).cast("int"))
     light = sized.select(file, number, "_map", F.length(content).cast("long").alias("_n"))
     starts = light.select(
         file, number, F.collect_list("_map").over(before).alias("_maps"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
     ).select(file, number, compose.alias("_state"), "_base")
-    ready = chunks.join(starts, [file, number])
-    schema = ready.select(F.col(file), F.col("_base")).schema.simpleString()[7:-1].split(",_base")[0]
+    ready = chunks.select(file, number, content).join(starts, [file, number])
+    schema = ready.select(file, number).schema.simpleString()[7:-1]
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, data, state, base in zip(pdf[file], pdf[content], pdf["_state"], pdf["_base"]):
+            for path, k, data, state, base in zip(pdf[file], pdf[number], pdf[content], pdf["_state"], pdf["_base"]):
                 classes = lut[np.frombuffer(data or b"", np.uint8)]
                 states = run_states(classes, table, start=int(state))[:-1]
                 ends = np.flatnonzero((classes == END) & (states != QUOTED)) + 1
                 at = [0, *ends.tolist()]
-                for k, (a, b) in enumerate(zip(at, [*at[1:], len(classes)])):
+                for i, (a, b) in enumerate(zip(at, [*at[1:], len(classes)])):
                     if b > a:
-                        rows.append((path, int(base) + a, k > 0 or base == 0, bytes(data[a:b])))
-            yield pd.DataFrame(rows, columns=[file, "_at", "_first", "_piece"])
-
-    cut = ready.mapInPandas(pieces, f"{schema}, _at long, _first boolean, _piece binary")
-    record = F.last(F.when(F.col("_first"), F.col("_at")), ignorenulls=True).over(W.partitionBy(file).orderBy("_at"))
+                        begun = int(base) + a if i or state == NEW else None
+                        rows.append((path, k, int(base) + a, begun, bytes(data[a:b])))
+            out = pd.DataFrame(rows, columns=[file, number, "_at", "_begun", "_piece"])
+            yield out.assign(_begun=out["_begun"].astype("Int64"))
+
+    cut = ready.mapInPandas(pieces, f"{schema}, _at long, _begun long, _piece binary")
+    # A piece that continues a record finds its start in the chunks before: one row per chunk.
+    held = cut.groupBy(file, number).agg(F.max("_begun").alias("_last"))
+    carried = held.select(file, number, F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    cut = cut.join(carried, [file, number]).withColumn("record_at", F.coalesce("_begun", "_carried"))
     whole = (
-        cut.withColumn("record_at", record)
-        .groupBy(file, "record_at")
+        cut.groupBy(file, "record_at")
         .agg(F.sort_array(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
         .select(file, "record_at", F.transform("_p", lambda x: F.decode(x["_piece"], "UTF-8")).alias("_t"))
         .select(file, "record_at", F.regexp_replace(F.array_join("_t", ""), r"\r?\n$", "").alias("_line"))

@@ -8,7 +8,7 @@ from gleanery.operators import malformed as M
 
 def sequential(data: bytes, delimiter=b",", quote=b'"', multiline=False):
     table, lut = M.transition_table(multiline), M.byte_classes(delimiter.decode(), quote.decode(), "\n" if multiline else None)
-    state, out = M.START, []
+    state, out = M.NEW, []
     for b in data:
         out.append(state)
         state = int(table[lut[b], state])

@@ -50,7 +50,7 @@ def included(text: Column, general: Column, own: Column | None = None) -> Column
     rule = F.nullif(general, F.lit(""))
     if own is not None:
         rule = F.coalesce(F.nullif(own, F.lit("")), rule)
-    return F.coalesce(F.rlike(text, rule), F.lit(True))
+    return rule.isNull() | F.coalesce(F.rlike(text, rule), F.lit(False))
 
 
 def select_entries(entries: DataFrame, text: str, own_exclude: str, exclude: str | None = None, include: str | None = None, own_include: str | None = None) -> DataFrame:

@@ -78,7 +78,7 @@ def unsigned_register(value: Column, compat: bool = False) -> Column:
     if not compat:
         return full
     bits = F.length(F.bin(F.abs(value.cast("long"))))
-    mask = F.shiftleft(F.lit(1).cast("long"), bits) - 1
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     return F.when(value < 0, value.cast("long").bitwiseAND(mask)).otherwise(value.cast("long")).cast("decimal(20,0)")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gleanery.operators.joins import in_ranges
 
+# Fixed value: the shape of a memory map's line.
 MAP_LINE = r"([\da-f]+)-([\da-f]+) ([\w\-]+) {offset} {device} \d+ [\w\W]+"
 # The argument registers of an architecture's calling convention.
 ARGUMENTS = {"i386:x86-64": ["rdi", "rsi", "rdx", "rcx", "r8", "r9"], "aarch64": ["x0", "x1", "x2", "x3", "x4", "x5", "x6", "x7"]}

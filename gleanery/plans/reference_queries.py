@@ -390,44 +390,43 @@ def skip_existing(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.skip_existing(sampling.batch_list(d, "torrent_name").distinct(), d.select(F.col("torrent_name").alias("name")), ".torrent")
 
 
-LISTING = """  1           0 RESUME                   0
-              2 LOAD_CONST               1 (0)
-              4 STORE_FAST               0 (i)
-              6 LOAD_FAST                0 (i)
-              8 LOAD_CONST               2 ({limit})
-             10 COMPARE_OP               0 (<)
-             16 POP_JUMP_FORWARD_IF_FALSE    11 (to 40)
-        >>   18 LOAD_FAST                0 (i)
-             20 LOAD_CONST               3 (1)
-             22 BINARY_OP               13 (+=)
-             26 STORE_FAST               0 (i)
-             28 LOAD_FAST                0 (i)
-             30 LOAD_CONST               2 ({limit})
-             32 COMPARE_OP               0 (<)
-             38 POP_JUMP_BACKWARD_IF_TRUE    11 (to 18)
-        >>   40 LOAD_FAST                0 (i)
-             42 RETURN_VALUE"""
+LISTING = """  3           0 RESUME                   0
+  4           2 LOAD_CONST               1 ({limit})
+              4 STORE_FAST               0 (left)
+  5     >>    6 LOAD_FAST                0 (left)
+              8 POP_JUMP_FORWARD_IF_FALSE    9 (to 28)
+  6          10 LOAD_GLOBAL              0 (tick)
+             12 LOAD_FAST                0 (left)
+             14 CALL                     1
+             16 POP_TOP
+             18 LOAD_FAST                0 (left)
+             20 LOAD_CONST               2 (1)
+             22 BINARY_OP               10 (-)
+             24 STORE_FAST               0 (left)
+             26 JUMP_BACKWARD           11 (to 6)
+  7     >>   28 LOAD_CONST               0 (None)
+             30 RETURN_VALUE"""
 
 
 def _programs(spark: SparkSession, sf: str) -> DataFrame:
-    """A counting loop per station, up to its pace."""
+    """A countdown per station, from its pace."""
     s = table(spark, sf, "station")
     return s.select(F.col("icao").alias("prog_id"), F.replace(F.lit(LISTING), F.lit("{limit}"), F.col("report_every").cast("string")).alias("text"))
 
 
 @query("""
-    SELECT icao AS prog_id, label, last, size FROM station, (VALUES (0, 16, 7), (18, 38, 8), (40, 42, 2)) b(label, last, size)""")
+    SELECT icao AS prog_id, label, last, size FROM station, (VALUES (0, 4, 3), (6, 8, 2), (10, 26, 9), (28, 30, 2)) b(label, last, size)""")
 def program_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return control_flow.basic_blocks(control_flow.parse_listing(_programs(spark, sf)))
 
 
 @query("""
-    SELECT icao AS prog_id, src, dst FROM station, (VALUES (0, 18), (0, 40), (18, 40), (18, 18), (40, 1919810)) e(src, dst)""")
+    SELECT icao AS prog_id, src, dst FROM station, (VALUES (0, 6), (6, 10), (6, 28), (10, 6), (28, 1919810)) e(src, dst)""")
 def program_edges(spark: SparkSession, sf: str) -> DataFrame:
     return control_flow.flow_edges(control_flow.parse_listing(_programs(spark, sf))).select("prog_id", "src", "dst")
 
 
-@query("SELECT icao AS prog_id, 18 AS header, 0 AS pos, 18 AS member FROM station")
+@query("SELECT icao AS prog_id, 6 AS header, pos, member FROM station, (VALUES (0, 10), (1, 6)) l(pos, member)")
 def program_loops(spark: SparkSession, sf: str) -> DataFrame:
     return control_flow.loops(control_flow.flow_edges(control_flow.parse_listing(_programs(spark, sf))))
 

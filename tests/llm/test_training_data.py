@@ -57,7 +57,7 @@ def test_runs_are_compacted_and_fences_skip(spark):
     assert sum(r.rows for r in store.runs.runs) == 38
     checked = store.add(spark.createDataFrame([(99, "k3"), (100, "new")], "id long, key string"), "key", "id")
     assert {r._first: r._same for r in checked.collect()} == {99: 3, 100: None}
-    store.close()
+    store.runs.close()
 
 
 # --- releases

@@ -55,8 +55,8 @@ def test_patterns_never_give_back(spark):
 
 
 REPORTS = [
-    "METAR/SPECI ZZCK 221630Z 24002MPS 0600 R02L/1000U FZFG SCT010 M02/M02 Q1018 BECMG TL1700 0800 BECMG AT1800 3000 BR=",
-    "METAR VHHX 170745Z 16036G55KT 100V220 0600 R25L/0560 FZFG +TSRA SQ BKN015 OVC028CB 02/M01 Q0993 WS LDG RWY25L TEMPO 2000 +RA=",
+    "METAR/SPECI QQAB 110905Z 31004MPS 0300 R17L/0400D FZFG BKN003 M05/M06 Q1031 BECMG TL1015 1200 BECMG AT1130 5000 BR=",
+    "METAR QQCD 280215Z 07021G38KT 030V110 1500 R08R/0900 FZFG +TSRA SQ FEW020 BKN040CB 19/M03 Q0987 WS LDG RWY08L TEMPO 0800 +RA=",
     "ABCD 010203Z CAVOK XYZ 9999 ",
 ]
 
@@ -69,8 +69,8 @@ def test_weather_tokens(spark):
     assert kinds[1][4:] == ["vary", "visibility", "runway", "icao", "weather", "weather", "cloud", "cloud", "temperature", "pressure", "shear", "trend", "visibility", "weather"]
     assert kinds[2] == ["icao", "time", "cavok"]
     by = {(t.line_id, t.pos): t for t in tokens}
-    assert by[0, 6].kind_fixed == "weather" and by[0, 5].runway == ["R", "02L", "/", "1000U"] and by[1, 3].wind_gust == "55"
-    assert by[1, 8].weather == ["+", "TS", "RA"] and by[1, 11].cloud_cb == "CB" and by[1, 14].shear == ["WS", "LDG", "RWY25L"]
+    assert by[0, 6].kind_fixed == "weather" and by[0, 5].runway == ["R", "17L", "/", "0400D"] and by[1, 3].wind_gust == "38"
+    assert by[1, 8].weather == ["+", "TS", "RA"] and by[1, 11].cloud_cb == "CB" and by[1, 14].shear == ["WS", "LDG", "RWY08L"]
     done = {r.line_id: (r.used, r.complete) for r in W.consumed(df).collect()}
     assert done[0] == (len(REPORTS[0]), True) and done[2] == (len("ABCD 010203Z CAVOK "), False) and done[10] == (0, True) and done[9][0] is None
 
@@ -167,7 +167,7 @@ def test_executables_and_containers(spark):
 
 
 def test_snapshots(spark):
-    lines = ["55e60475c000-55e60475e000 r--p 00000000 103:02 1611108   /usr/bin/cat", "7f00-7f10 rw-p 0000a000 fd:01 5 /x", "junk"]
+    lines = ["7e00aa000000-7e00aa021000 r-xp 00004000 08:01 77   /opt/own", "7f00-7f10 rw-p 0000a000 fd:01 5 /x", "junk"]
     df = spark.createDataFrame([(x,) for x in lines], "line string")
     assert V.parse_maps(df).count() == 2 and V.parse_maps(df, compat=True).count() == 1
     regs = spark.createDataFrame([(1, "rip", 1), (2, "rip", 2), (1, "rax", 5), (2, "rax", 6), (3, "rax", 6)], "t int, reg string, v long")

@@ -105,7 +105,7 @@ def releases(n=240, seed=2):
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
     made, rows, of = [], [], {}
     for i in range(n):
-        batch = 0 if i < n // 2 else 1 + i % 4 if False else 1 + (i - n // 2) * 4 // (n // 2)
+        batch = 0 if i < n // 2 else 1 + (i - n // 2) * 4 // (n // 2)
         if batch and rng.random() < 0.5 and made:
             k = 0 if rng.random() < 0.4 else rng.randrange(len(made))  # one release holds a large part
             title, episode, address = made[k]

@@ -151,6 +151,21 @@ def test_chains_inside_a_batch(spark):
     assert got[:3] == [(1, 2), (1, 3), (1, 4)] and all(g[0] == 1 for g in got)
 
 
+@pytest.mark.parametrize("at_once", [1, 4])
+def test_slips_of_a_later_name(spark, at_once):
+    """A release is found by a slip of any of its names, not only of the one it began with; names of other attributes don't count."""
+    u = lambda k: f"https://a/t/{k:040x}.torrent"
+    n = lambda t, e=1: f"[G] {t} - {e:02d} [720p][AVC]"
+    long = "alpha beta gamma delta epsilon"
+    rows = [
+        (0, n("zzz yyy xxx"), u(0), 0), (1, n("abc def ghi"), u(1), 1), (2, n("mno pqr stu"), u(1), 1), (3, n("mno pqr stu"), u(2), 1), (4, None, u(2), 1), (5, n("mno pqr stt"), None, 2),
+        (6, None, u(6), 1), (7, n("quick brown foxes"), u(6), 2), (8, n("quick brown foxess"), None, 3), (9, n("zzz other words here"), u(0), 1), (10, n("zzz other words hree"), None, 4),
+        (11, n(long), u(11), 1), (12, n(long + " and then the rest", 2), u(11), 2), (13, n(long + "s", 2), None, 3), (14, n(long + "s"), None, 4),
+    ]
+    got = sorted(tuple(r) for r in R.repeats(spark.createDataFrame(rows, SCHEMA), "torrent_url", "torrent_name", "batch_no", at_once=at_once).collect())
+    assert got == [(0, 9), (0, 10), (1, 2), (1, 3), (1, 4), (1, 5), (6, 7), (6, 8), (11, 12), (11, 14)]
+
+
 def test_band_keys_recall():
     rng = random.Random(4)
     titles = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) + " of " + "".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(400)]

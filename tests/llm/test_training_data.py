@@ -166,6 +166,15 @@ def test_slips_of_a_later_name(spark, at_once):
     assert got == [(0, 9), (0, 10), (1, 2), (1, 3), (1, 4), (1, 5), (6, 7), (6, 8), (11, 12), (11, 14)]
 
 
+def test_links_across_a_representative(spark):
+    """2 is like 1 and 3, which are too far apart; 1 represents the bucket. 4 is like none."""
+    titles = {1: "a" * 20, 2: "a" * 16 + "b" * 4, 3: "a" * 12 + "b" * 8, 4: "c" * 20}
+    names = spark.createDataFrame([(bytes([k]), t, 9 if k == 1 else 1, k) for k, t in titles.items()], "k binary, title string, count long, id long")
+    with R.Scratch(spark) as scratch:
+        links = R.ReleaseIndex(spark, 4)._near_each_other(names.select(F.lit(7).cast("long").alias("h"), F.col("k").alias("ref")), names, scratch)
+        assert {frozenset((r.a[0], r.b[0])) for r in links.collect()} == {frozenset((1, 2)), frozenset((2, 3))}
+
+
 def test_band_keys_recall():
     rng = random.Random(4)
     titles = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) + " of " + "".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(400)]

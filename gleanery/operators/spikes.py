@@ -2,8 +2,9 @@
 
 Per source and field a robust control chart runs over the readings in order of time: an exponentially weighted level and
 scale, updated with clipped values only, so a suspect moves neither. A reading beyond the chart's level limit or beyond
-its moving-range limit is a suspect; suspects are then checked exactly (two neighbours on both sides). Run-length counters
-find stuck values; physical limits need no neighbours.
+its moving-range limit is a suspect; suspects are then checked exactly (two neighbours on both sides). An exact spike begins
+with a step of at least the moving-range limit, so that limit alone decides and the level's suspects are all rejected.
+Run-length counters find stuck values; physical limits need no neighbours.
 
 Sources are cut into blocks of time, so that a source with a third of all rows is many groups. A block gets the last
 readings before it (the chart's warm-up; an exponential weight has forgotten what lies further back) and the first few

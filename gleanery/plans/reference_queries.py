@@ -307,6 +307,12 @@ def hex_rows(spark: SparkSession, sf: str) -> DataFrame:
     return byte_views.hex_rows(table(spark, sf, "station").select("icao", F.encode("note", "UTF-8").alias("c")), "icao", "c")
 
 
+@query()
+def hex_rows_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the whole texts of documents."""
+    return byte_views.hex_rows(table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("c")), "doc_id", "c")
+
+
 @query("""
     WITH h AS (SELECT hex(encode(text)) AS h FROM documents WHERE text <> ''), b AS (SELECT ('0x' || substr(h, i * 2 + 1, 2))::INT AS x FROM (SELECT h, unnest(range(0, length(h)::BIGINT // 2)) AS i FROM h))
     SELECT CASE WHEN x = 0 THEN 'GREY' WHEN x BETWEEN 33 AND 126 THEN 'BLUE' WHEN x BETWEEN 128 AND 254 THEN 'YELLOW' ELSE 'GREEN' END AS class, count(*) AS count FROM b GROUP BY 1""")
@@ -321,13 +327,23 @@ def find_offset(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", byte_views.find_offset(F.encode("text", "UTF-8"), F.encode(F.lit("nvme"), "UTF-8")).cast("long").alias("at"))
 
 
-@query("SELECT icao, true AS same FROM station")
-def xor_twice(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "station").select("icao", F.encode(F.coalesce("note", F.lit("")), "UTF-8").alias("c"))
+def _xor_twice(rows: DataFrame, key: str, text: str) -> DataFrame:
+    s = rows.select(key, F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("c"))
     once = byte_views.xor_stream(F.col("c"), KEY)
     k = F.array(*map(F.lit, KEY))
     twice = F.transform(once, lambda b, i: b.bitwiseXOR(F.get(k, (i + F.shiftright(i, 4)).bitwiseAND(15))))
-    return s.select("icao", (twice == byte_views.byte_numbers(F.col("c"))).alias("same"))
+    return s.select(key, (twice == byte_views.byte_numbers(F.col("c"))).alias("same"))
+
+
+@query("SELECT icao, true AS same FROM station")
+def xor_twice(spark: SparkSession, sf: str) -> DataFrame:
+    return _xor_twice(table(spark, sf, "station"), "icao", "note")
+
+
+@query("SELECT doc_id, true AS same FROM documents")
+def xor_twice_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over the whole texts of documents."""
+    return _xor_twice(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query("""

@@ -262,3 +262,14 @@ def test_sensors_sampling_relocations(spark, tmp_path):
     out.mkdir()
     readers.write_files(spark.createDataFrame([("x", bytearray(b"1"))], "n string, c binary"), "n", "c", str(out))
     assert (out / "x").read_bytes() == b"1"
+
+
+def test_bytes_of_whole_documents(spark, sf):
+    from gleanery.plans import reference_queries as Q
+
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    rows = Q.QUERIES["hex_rows_texts"](spark, sf).collect()
+    assert {(r.doc_id, int(r.address, 16)): bytes.fromhex(r.hex) for r in rows} == {(d, k): b[k : k + 16] for d, b in texts.items() for k in range(0, len(b), 16)}
+    assert len(rows) == sum(-(-len(b) // 16) for b in texts.values()) > 1000
+    same = Q.QUERIES["xor_twice_texts"](spark, sf).collect()
+    assert {r.doc_id for r in same} == set(texts) and all(r.same for r in same)

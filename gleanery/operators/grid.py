@@ -6,7 +6,8 @@ missing slots, so no task holds a source's series and no slot list is longer tha
 
 Missing slots are filled by a low-rank factorisation of the source-by-time matrix (alternating least squares, Spark's
 distributed one) of the deviations from each source's mean; observed cells stay exact, and a cell whose row or column has
-too little support stays marked.
+too little support stays marked. The matrix has columns of `column_minutes`, whatever a source's pace: all missing slots of a
+source in one column get the same filled value.
 
 Special input: a null value, time or source is no reading; a source without a pace (`every` null or below 1) has no grid;
 equal readings share their slot; with an empty table the grid is empty; when there is nothing to factorise, all missing

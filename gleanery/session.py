@@ -38,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="gleanery-")
+    made = tempfile.mkdtemp(prefix="gleanery-")  # one machine only: the executors of local mode are threads of the driver
     spark.conf.set("spark.checkpoint.dir", made)
     spark.sparkContext.setCheckpointDir(made)
     return made
@@ -60,11 +60,40 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of Hadoop, so that files can be handled under any scheme."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def discard(spark: SparkSession, path: str) -> None:
-    """Remove a scratch path (through the Hadoop file system, so it works for any scheme)."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Remove a path."""
+    system, target = file_system(spark, path)
+    system.delete(target, True)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    system, target = file_system(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    system, target = file_system(spark, path)
+    stream = system.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all: under another name first, then renamed."""
+    system, target = file_system(spark, path)
+    part = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    stream = system.create(part, True)
+    stream.write(bytearray(text.encode("utf-8")))
+    stream.close()
+    system.rename(part, target)
 
 
 class Scratch:

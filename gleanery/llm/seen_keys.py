@@ -1,11 +1,10 @@
 """Has this key been seen before?
 
-A log-structured store of key hashes. Every batch of new keys becomes one immutable run: a bucketed table of
-(hash, key, id) in which each bucket is one file sorted by hash; its row groups carry the least and greatest hash, the
-block fences. A batch is reduced to its distinct keys, which are probed against the runs by a merge join on the hash (the
-runs are bucketed by it, so they are neither shuffled nor held in memory), and a hit counts only if the full key is equal.
-Keys not found form the next run at level 0. When a level holds `fan_out` runs they are merged into one run of the next
-level, so a store of n batches has O(fan_out * log n) runs.
+A log-structured store of key hashes (see sorted_runs): every batch of new keys becomes one immutable run of (hash, key,
+first order) in which each bucket is one file sorted by hash, with block fences. A batch is reduced to its distinct keys,
+which are shuffled by hash once and merge-joined with every run in one stage; the runs are read in the order they were
+written in. A hit counts only if the full key is equal. Keys not found form the next run; full levels are merged bucket by
+bucket, so a store of n batches has O(fan_out * log n) runs. The store lives in a folder and can be opened again later.
 
 Memory per task is that of a merge join: one block of each run. Nothing is collected to the driver but counts.
 
@@ -16,29 +15,38 @@ run. Other columns of the input, whatever their names, are not touched.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from gleanery.llm.sorted_runs import SortedRuns
-from gleanery.session import materialize
+from gleanery.llm.sorted_runs import RunStore
+from gleanery.session import Scratch, materialize, scratch_path
+
+HASHES = {
+    "xxhash64": F.xxhash64,
+    # The first 15 hexadecimal digits of the MD5: a hash that other engines have, too.
+    "md5": lambda key: F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"),
+}
 
 
-@dataclass
 class SeenKeys:
-    """A store of keys. `hash_bits` < 64 shortens the hash (tests use that to force collisions)."""
+    """A store of keys in the folder `path`. `hash_bits` (multiples of 4 for md5) below the full width shortens the hash."""
 
-    spark: SparkSession
-    buckets: int
-    fan_out: int = 4
-    hash_bits: int = 64
-    fence_probe_keys: int = 1000
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, fan_out: int = 4, hash_name: str = "xxhash64", hash_bits: int | None = None, store: RunStore | None = None):
+        self.spark = spark
+        self.store = store or RunStore(spark, path, {"keys": "_h"}, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fan_out)
+        self.hash_name, self.hash_bits = hash_name, hash_bits
+        if store is None:
+            self.store.facts = {"hash_name": hash_name, "hash_bits": hash_bits}
 
-    def __post_init__(self) -> None:
-        self.runs = SortedRuns(self.spark, "_h", self.buckets, self.fan_out)
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SeenKeys:
+        """The store that an earlier session has left in the folder."""
+        store = RunStore.open(spark, path)
+        return cls(spark, path, hash_name=store.facts["hash_name"], hash_bits=store.facts["hash_bits"], store=store)
 
     def hash_of(self, key: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(key), 64 - self.hash_bits) if self.hash_bits < 64 else F.xxhash64(key)
+        full = HASHES[self.hash_name](key)
+        width = 60 if self.hash_name == "md5" else 64
+        return F.shiftrightunsigned(full, width - self.hash_bits) if self.hash_bits and self.hash_bits < width else full
 
     def distinct_keys(self, batch: DataFrame, key: str, order: str) -> DataFrame:
         """(_h, _key, _first): each key of the batch once, with its least order; combined before the shuffle."""
@@ -50,50 +58,39 @@ class SeenKeys:
             .select(self.hash_of(F.col("_key")).alias("_h"), "_key", "_first")
         )
 
-    def probe(self, keys: DataFrame, n_keys: int | None = None) -> tuple[DataFrame, DataFrame]:
-        """(keys with `_same`: the order of the equal stored key or null, hits of the hash alone with other keys).
-
-        A probe of few keys reads only the blocks whose fences enclose one of its hashes.
-        """
-        left = keys
-        collisions = None
-        found = None
-        few = None
-        if n_keys is not None and n_keys <= self.fence_probe_keys:
-            few = [r[0] for r in keys.select("_h").distinct().limit(self.fence_probe_keys).collect()]
-        for stored in self.runs.tables():
-            if few is not None:
-                stored = stored.filter(F.col("_h").isin(few))
-            stored = stored.select("_h", F.col("_key").alias("_stored"), F.col("_first").alias("_was"))
-            hit = left.hint("merge").join(stored.hint("merge"), "_h", "inner")
-            same = hit.filter(F.col("_key") == F.col("_stored")).select("_h", "_key", "_was")
-            other = hit.filter(F.col("_key") != F.col("_stored")).select("_h", "_key")
-            found = same if found is None else found.unionByName(same)
-            collisions = other if collisions is None else collisions.unionByName(other)
-        if found is None:
-            return keys.withColumn("_same", F.lit(None).cast(keys.schema["_first"].dataType)), keys.select("_h", "_key").limit(0)
-        seen = found.groupBy("_h", "_key").agg(F.min("_was").alias("_same"))
-        return keys.join(seen, ["_h", "_key"], "left"), collisions.distinct()
-
-    def add(self, batch: DataFrame, key: str, order: str) -> DataFrame:
-        """Look up all keys of the batch, store the new ones. Returns the batch's distinct keys (_first, _same,
-        _hash_only, ...): `_same` is the order of the earlier equal key, `_hash_only` says that the hash alone would have
-        called a new key seen."""
+    def lookup(self, values: list[str]) -> DataFrame:
+        """(_key, _first) of the given few keys that are stored; reads only the blocks whose fences enclose their hashes."""
+        asked = self.spark.createDataFrame([(v,) for v in values], "_key string").select(self.hash_of(F.col("_key")).alias("_h"))
+        hashes = [r[0] for r in asked.collect()]
+        found = self.spark.createDataFrame([], "_key string, _first long")
+        for run in self.store.tables("keys"):
+            found = found.unionByName(run.filter(F.col("_h").isin(hashes) & F.col("_key").isin(values)).select("_key", "_first"))
+        return found
+
+    def add(self, batch: DataFrame, key: str, order: str, scratch: Scratch) -> DataFrame:
+        """Look up all keys of the batch, store the new ones. Returns the batch's distinct keys (_first, _same, _hash_only):
+        `_same` is the order of the earlier equal key, `_hash_only` says that the hash alone would have called a new key
+        seen."""
         fresh = self.distinct_keys(batch, key, order)
-        if not self.runs.runs:
-            stored = self.runs.append(fresh.select("_h", "_key", "_first"))
-            return materialize(
-                stored.select("_h", "_first", F.lit(None).cast(stored.schema["_first"].dataType).alias("_same"), F.lit(False).alias("_hash_only")), "first-keys"
-            )
-        keys = materialize(fresh, "batch-keys")
-        checked, collisions = self.probe(keys, keys.count())
-        checked = materialize(
-            checked.join(collisions.withColumn("_c", F.lit(True)), ["_h", "_key"], "left").select(
-                "_h", "_key", "_first", "_same", (F.col("_same").isNull() & F.coalesce("_c", F.lit(False))).alias("_hash_only")
-            ),
-            "probed",
-        )
-        self.runs.append(checked.filter(F.col("_same").isNull()).select("_h", "_key", "_first"))
+        none = F.lit(None).cast(fresh.schema["_first"].dataType)
+        if not self.store.runs["keys"]:
+            run = self.store.stage("keys", fresh)
+            self.store.commit({"keys": run})
+            new = self.store.tables("keys")[0] if run.rows else fresh.limit(0)
+            return new.select("_first", none.alias("_same"), F.lit(False).alias("_hash_only"))
+        with self.store.trusted():
+            equal = F.when(F.col("_key") == F.col("_stored"), F.col("_was"))
+            runs = [r.select("_h", F.col("_key").alias("stored"), F.col("_first").alias("was")) for r in self.store.tables("keys")]
+            keys = fresh.repartition(self.store.buckets, "_h").withColumns({"_same": none, "_other": F.lit(False)})
+            for run in runs:
+                keys = keys.hint("merge").join(run.select("_h", F.col("stored").alias("_stored"), F.col("was").alias("_was")).hint("merge"), "_h", "left")
+                other = F.col("_other") | F.coalesce(F.col("_key") != F.col("_stored"), F.lit(False))
+                keys = keys.select("_h", "_key", "_first", F.coalesce("_same", equal).alias("_same"), other.alias("_other"))
+            # Where stored keys share a hash, a key has come out once for each of them.
+            keys = keys.groupBy("_h", "_key", "_first").agg(F.min("_same").alias("_same"), F.max("_other").alias("_other"))
+            checked = scratch.keep(keys.select("_h", "_key", "_first", "_same", (F.col("_same").isNull() & F.col("_other")).alias("_hash_only")), "probed")
+        run = self.store.stage("keys", checked.filter(F.col("_same").isNull()).select("_h", "_key", "_first"))
+        self.store.commit({"keys": run})
         return checked
 
 
@@ -106,31 +103,34 @@ def epochs(df: DataFrame, order: str, count: int) -> list[Column]:
     return [(F.col(order) >= low + i * width) & (F.col(order) < low + (i + 1) * width) for i in range(count) if low + i * width <= high]
 
 
-def replay(df: DataFrame, key: str, order: str, batches: int = 6, fan_out: int = 3, hash_bits: int = 64, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Feed df to a store in `batches` consecutive ranges of order.
+def replay(df: DataFrame, key: str, order: str, batches: int = 6, fan_out: int = 3, path: str | None = None, report: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+    """Feed df to a new store in `batches` consecutive ranges of order. The store stays in `path`, or is removed if none is
+    given.
 
-    Returns (order of every row whose key a row of smaller order has; per batch: keys, seen, hash_only).
+    Returns (order of every row whose key a row of smaller order has; per batch: keys, keys_seen, hash_only_wrong, if asked
+    for). Both are tables, written batch by batch.
     """
     spark = df.sparkSession
-    store = SeenKeys(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), fan_out, hash_bits)
-    answers, reports = None, None
-    for i, part in enumerate(epochs(df, order, batches)):
+    store = SeenKeys(spark, path or scratch_path(spark, "seen"), fan_out=fan_out, **options)
+    answers, reports = None, []
+    parts = epochs(df, order, batches)
+    for i, part in enumerate(parts):
         batch = df.filter(part)
-        keys = store.add(batch, key, order)
-        first = keys.filter(F.col("_same").isNull()).select(F.col("_first").alias(order))
-        again = batch.filter(F.col(key).isNotNull()).select(order).join(first, order, "left_anti")
-        report = keys.agg(
-            F.count("*").alias("keys"), F.count("_same").alias("keys_seen"), F.coalesce(F.sum(F.col("_hash_only").cast("long")), F.lit(0)).alias("hash_only_wrong")
-        ).withColumn("batch", F.lit(i))
+        with Scratch(spark) as scratch:
+            keys = store.add(batch, key, order, scratch)
+            first = keys.filter(F.col("_same").isNull()).select(F.col("_first").alias(order))
+            again = materialize(batch.filter(F.col(key).isNotNull()).select(order).join(first, order, "left_anti"), "again")
+            if report:
+                counts = keys.agg(F.count("*"), F.count("_same"), F.coalesce(F.sum(F.col("_hash_only").cast("long")), F.lit(0)))
+                reports.append((i, *counts.first()))
         answers = again if answers is None else answers.unionByName(again)
-        reports = report if reports is None else reports.unionByName(report)
-        if i + 1 < batches:
-            store.runs.compact()
-    store.runs.close()
-    if answers is None:
-        answers = df.select(order).limit(0)
-        reports = df.agg(F.count("*").alias("keys"), F.count("*").alias("keys_seen"), F.count("*").alias("hash_only_wrong")).withColumn("batch", F.lit(0))
-    return answers, reports
+        if i + 1 < len(parts):
+            store.store.compact()
+    (store.store.close if path else store.store.destroy)()
+    return (
+        answers if answers is not None else df.select(order).limit(0),
+        spark.createDataFrame(reports, "batch int, keys long, keys_seen long, hash_only_wrong long"),
+    )
 
 
 def seen_before(df: DataFrame, key: str, order: str, **options) -> DataFrame:
@@ -141,7 +141,7 @@ def seen_before(df: DataFrame, key: str, order: str, **options) -> DataFrame:
 def error_rate(df: DataFrame, key: str, order: str, hash_bits: int = 32, batches: int = 6, **options) -> DataFrame:
     """Per batch: how many keys, how many seen before, how often a hash of hash_bits alone would have been wrong and that
     rate; and the rows answered wrongly in the end, counted against an exact first occurrence of every key."""
-    answers, reports = replay(df, key, order, hash_bits=hash_bits, batches=batches, **options)
+    answers, reports = replay(df, key, order, hash_bits=hash_bits, batches=batches, report=True, **options)
     first = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(order)).select(order, F.lit(1).alias("_new"))
     said = answers.select(order, F.lit(1).alias("_said"))
     parts = epochs(df, order, batches)

@@ -1,81 +1,155 @@
-"""Levelled immutable runs: tables bucketed and sorted by a key, merged level by level.
+"""Levelled immutable runs in a folder that outlives the session: tables bucketed and sorted by a key, merged level by level.
 
-A run is written once and never changed. Runs of one store have the same bucketing, so a join on the key with a batch
-shuffles the batch only; row groups of a sorted bucket hold the least and greatest key, the block fences, by which a
-filter on few keys skips blocks. Runs live in the shared folder, so they survive the loss of executors.
+A store holds named tables, each a list of runs. A run is written once and never changed. Its buckets are files sorted by
+the key, whose row groups carry the least and greatest key: the block fences, by which a look-up of few keys skips blocks.
+A batch is shuffled by the key once and merge-joined with every run; the runs are neither shuffled nor sorted again, nor
+held in memory. When a level holds `fan_out` runs, bucket i of all of them is merged by one task, without a shuffle, into a
+run of the next level; a run whose buckets would outgrow `rows_per_bucket` gets twice as many, each bucket split in place.
+
+What belongs to the store is what the newest manifest names; it is written under another name and renamed, so a session
+that ends in between leaves the store as it was. `RunStore.open` reads it in any later session.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from gleanery.session import discard, scratch_path
+from gleanery.session import discard, list_names, read_text, write_text
 
 
-@dataclass
+@dataclass(frozen=True)
 class Run:
     level: int
-    name: str
-    path: str
+    folder: str
     rows: int
+    buckets: int
+    ddl: str
 
 
-@dataclass
-class SortedRuns:
-    spark: SparkSession
-    key: str
-    buckets: int
-    fan_out: int = 4
-    block_bytes: int = 8 << 20
-    runs: list[Run] = field(default_factory=list)
+class RunStore:
+    def __init__(self, spark: SparkSession, path: str, keys: dict[str, str], buckets: int, fan_out: int = 4, rows_per_bucket: int = 1 << 22, block_bytes: int = 8 << 20):
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+        self.fan_out, self.rows_per_bucket, self.block_bytes = fan_out, rows_per_bucket, block_bytes
+        self.runs: dict[str, list[Run]] = {t: [] for t in keys}
+        self.facts: dict = {}
+        self.number = 0
+        self._registered: dict[str, str] = {}
 
-    def _write(self, rows: DataFrame, level: int) -> Run:
-        name = f"run_{uuid.uuid4().hex[:12]}"
-        path = scratch_path(self.spark, name)
-        (
-            rows.repartition(self.buckets, self.key)
-            .sortWithinPartitions(self.key)
-            .write.format("parquet")
-            .option("path", path)
-            .option("parquet.block.size", self.block_bytes)
-            .bucketBy(self.buckets, self.key)
-            .sortBy(self.key)
-            .saveAsTable(name)
-        )
-        return Run(level, name, path, self.spark.table(name).count())
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> RunStore:
+        """The store as its newest manifest has it."""
+        numbers = sorted(n for n in list_names(spark, path) if n.startswith("manifest-") and n.endswith(".json"))
+        if not numbers:
+            raise FileNotFoundError(f"no manifest in {path}")
+        held = json.loads(read_text(spark, f"{path}/{numbers[-1]}"))
+        store = cls(spark, path, held["keys"], held["buckets"], held["fan_out"], held["rows_per_bucket"], held["block_bytes"])
+        store.runs = {t: [Run(**r) for r in runs] for t, runs in held["runs"].items()}
+        store.facts, store.number = held["facts"], held["number"]
+        return store
 
-    def _drop(self, run: Run) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {run.name}")
-        discard(self.spark, run.path)
+    def commit(self, staged: dict[str, Run] | None = None, replaced: dict[str, list[Run]] | None = None, **facts) -> None:
+        """Staged runs become part of the store, replaced ones (of the same tables) leave it; all at once."""
+        for table, gone in (replaced or {}).items():
+            self.runs[table] = [r for r in self.runs[table] if r not in gone]
+        for table, run in (staged or {}).items():
+            if run.rows:
+                self.runs[table].append(run)
+            else:
+                self._drop(run)
+        self.facts |= facts
+        self.number += 1
+        held = {
+            "keys": self.keys, "buckets": self.buckets, "fan_out": self.fan_out, "rows_per_bucket": self.rows_per_bucket, "block_bytes": self.block_bytes,
+            "runs": {t: [asdict(r) for r in runs] for t, runs in self.runs.items()}, "facts": self.facts, "number": self.number,
+        }
+        write_text(self.spark, f"{self.path}/manifest-{self.number:08d}.json", json.dumps(held))
+        discard(self.spark, f"{self.path}/manifest-{self.number - 1:08d}.json")
+        for gone in (replaced or {}).values():
+            for run in gone:
+                self._drop(run)
+
+    @contextmanager
+    def trusted(self) -> Iterator[None]:
+        """Inside, plans use the order of the runs' buckets and read bucket by bucket even where no join asks for it."""
+        wanted = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+        before = {k: self.spark.conf.get(k) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
+        try:
+            yield
+        finally:
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
-    def append(self, rows: DataFrame) -> DataFrame:
-        """Write rows as a new run of level 0 and return it; an empty run is not kept in the store."""
-        run = self._write(rows, 0)
-        if run.rows:
-            self.runs.append(run)
-        return self.spark.table(run.name)
+    def table(self, run: Run) -> DataFrame:
+        name = self._registered.get(run.folder)
+        if name is None:
+            key = run.folder.split("/")[0]
+            name = f"run_{uuid.uuid4().hex[:16]}"
+            self.spark.sql(
+                f"CREATE TABLE {name} ({run.ddl}) USING parquet CLUSTERED BY ({self.keys[key]}) SORTED BY ({self.keys[key]}) INTO {run.buckets} BUCKETS LOCATION '{self.path}/{run.folder}'"
+            )
+            self._registered[run.folder] = name
+        return self.spark.table(name)
 
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.table(r.name) for r in self.runs]
+    def tables(self, table: str) -> list[DataFrame]:
+        return [self.table(r) for r in self.runs[table]]
+
+    def _write(self, table: str, rows: DataFrame, level: int, buckets: int, count: int | None) -> Run:
+        key, folder, name = self.keys[table], f"{table}/{uuid.uuid4().hex[:12]}", f"run_{uuid.uuid4().hex[:16]}"
+        seen = Observation()
+        counted = rows if count is not None else rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+        (
+            counted.write.format("parquet").option("path", f"{self.path}/{folder}").option("parquet.block.size", self.block_bytes)
+            .bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+        )
+        self._registered[folder] = name
+        return Run(level, folder, seen.get["rows"] if count is None else count, buckets, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema))
+
+    def stage(self, table: str, rows: DataFrame) -> Run:
+        """Write rows as a run of level 0 that belongs to the store once it is committed."""
+        return self._write(table, rows.repartition(self.buckets, self.keys[table]), 0, self.buckets, None)
 
     def compact(self) -> None:
         """Merge the runs of every level that is full into one run of the next level."""
-        level = 0
-        while level <= max((r.level for r in self.runs), default=-1):
-            full = [r for r in self.runs if r.level == level]
-            if len(full) >= self.fan_out:
-                merged = self.spark.table(full[0].name)
-                for run in full[1:]:
-                    merged = merged.unionByName(self.spark.table(run.name))
-                self.runs = [r for r in self.runs if r.level != level] + [self._write(merged, level + 1)]
-                for run in full:
-                    self._drop(run)
-            level += 1
+        for table in self.keys:
+            level = 0
+            while level <= max((r.level for r in self.runs[table]), default=-1):
+                full = [r for r in self.runs[table] if r.level == level]
+                if len(full) >= self.fan_out:
+                    merged = self.table(full[0])
+                    for run in full[1:]:
+                        merged = merged.unionByName(self.table(run))
+                    rows = sum(r.rows for r in full)
+                    alike = {r.buckets for r in full}
+                    buckets = max(alike)
+                    while rows > buckets * self.rows_per_bucket:
+                        buckets *= 2
+                    if len(alike) > 1:
+                        merged = merged.repartition(buckets, self.keys[table])
+                    with self.trusted():
+                        run = self._write(table, merged, level + 1, buckets, rows)
+                    self.commit({table: run}, {table: full})
+                level += 1
+
+    def _drop(self, run: Run) -> None:
+        name = self._registered.pop(run.folder, None)
+        if name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(self.spark, f"{self.path}/{run.folder}")
 
     def close(self) -> None:
-        for run in self.runs:
-            self._drop(run)
-        self.runs = []
+        """Forget the tables of this session; the files stay."""
+        for name in self._registered.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._registered = {}
+
+    def destroy(self) -> None:
+        self.close()
+        discard(self.spark, self.path)

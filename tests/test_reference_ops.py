@@ -90,22 +90,39 @@ def test_loops_and_order():
 
 def test_regions():
     g = C.Graph([(0, 2), (0, 4), (2, 6), (4, 6), (6, 8), (6, 10), (8, 10), (10, C.EXIT)])
-    assert C.region_at(g, 6) == ("if", [6], 8, None)
-    assert C.region_at(g, 0) == ("if_else", [0], 2, 4)
-    assert g.after[0] == [6] and C.region_at(g, 0) is None
+    found = C.branch_patterns(g)
+    assert found == {6: ("if", 6, (8, None), 10), 0: ("if_else", 0, (2, 4), 6)}
+    assert C.contract(g, found[6]) == ("if", [6], 8, None) and g.after[6] == [10]
+    assert C.contract(g, found[0]) == ("if_else", [0], 2, 4)
+    assert g.after[0] == [6] and C.branch_patterns(g) == {}
     many = C.Graph([(0, 2), (0, 6), (2, 4), (2, 6), (4, 8), (6, 8)])
-    assert C.region_at(many, 2) == ("if_many", [0, 2], 4, 6)
+    assert C.contract(many, C.branch_patterns(many)[2]) == ("if_many", [0, 2], 4, 6) and many.after == {0: [8], 8: []}
+
+
+def test_kept_dead_end(spark):
+    edges = [(0, 2), (0, 8), (2, 4), (2, 6), (4, 6), (6, 8), (8, C.EXIT)]
+    df = spark.createDataFrame([("p", k, a, b) for k, (a, b) in enumerate(edges)], "prog_id string, edge_seq int, src int, dst int")
+    assert [(r.kind, r.label) for r in C.regions(df).collect()] == [("if", 2)]
+    graph = C.Graph(edges)
+    C.contract(graph, C.branch_patterns(graph)[2], compat=True)
+    assert graph.after[2] == [6, 4] and graph.after[4] == []
 
 
 def test_flow_of_a_for_loop_and_statements(spark):
     text = "  1  0 RESUME  0\n  2  2 LOAD_FAST 0 (xs)\n  4 GET_ITER\n  6 FOR_ITER 5 (to 20)\n  8 STORE_FAST 0 (x)\n 10 LOAD_FAST 0 (x)\n 12 POP_TOP\n 14 JUMP_BACKWARD 5 (to 6)\n 20 LOAD_CONST 0 (None)\n 22 RETURN_VALUE\n\nnothing"
     lines = C.parse_listing(spark.createDataFrame([("p", text)], "prog_id string, text string"))
     edges = {(r.src, r.dst) for r in C.flow_edges(lines).collect()}
-    assert edges == {(0, 6), (6, 20), (6, 6), (20, C.EXIT)} or edges == {(0, 6), (6, 20), (6, 8), (8, 6), (20, C.EXIT)}
+    assert edges == {(0, 6), (6, 20), (6, 6), (20, C.EXIT)}
     said = [r.statement for r in C.statements(lines).orderBy("label", "pos").collect()]
-    assert "return None  # goto " in said
-    assert C.source_lines([(0, "LOAD_NAME", "f"), (2, "LOAD_NAME", "a"), (4, "LOAD_ATTR", "b"), (6, "CALL", ""), (8, "STORE_NAME", "r")]) == ["r = f(a.b)"]
-    assert C.source_lines([(0, "BINARY_OP", "+")]) == ["? + ?"]
+    assert said == ["xs", "x = ?", "return None  # goto "]
+
+    def run(*steps):
+        listed = spark.createDataFrame([("p", k, 2 * k, op, a) for k, (op, a) in enumerate(steps)], C.INSTRUCTION)
+        return [r.statement for r in C.statements(listed).orderBy("pos").collect()]
+
+    assert run(("LOAD_NAME", "f"), ("LOAD_NAME", "a"), ("LOAD_ATTR", "b"), ("CALL", ""), ("STORE_NAME", "r")) == ["r = f(a.b)"]
+    assert run(("BINARY_OP", "+")) == ["? + ?"] and run(("CALL", None), ("NOP", "")) == ["?()"]
+    assert run(("LOAD_FAST", "$1"), ("LOAD_CONST", "2"), ("BINARY_SUBSCR", ""), ("POP_JUMP_BACKWARD_IF_TRUE", "to 40")) == ["if $1[2]:\nbreak  # goto to 40"]
     cols = C.parse_columns(spark.createDataFrame([("p", "0  LOAD_FAST  0: (i)\n2  RETURN_VALUE\nx")], "prog_id string, text string")).orderBy("linenum").collect()
     assert [(r.linenum, r.op) for r in cols] == [(0, "LOAD_FAST"), (2, "RETURN_VALUE")]
 

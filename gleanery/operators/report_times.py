@@ -5,20 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+DAY = "^(0[1-9]|[12][0-9]|3[01])$"
+TIME = "^([01][0-9]|2[0-3])[0-5][0-9]$"
+
+
+def has_time(day: Column, time: Column) -> Column:
+    """day 01-31 and time 0000-2359."""
+    return F.coalesce(day.rlike(DAY) & time.rlike(TIME), F.lit(False))
+
+
 def observed_at(day: Column, time: Column, received: Column) -> Column:
-    """The latest instant with that day of month and time of day not after `received`; null unless day is 01-31 and time
-    0000-2359. Three months back always hold such a day."""
-    good = day.rlike("^(0[1-9]|[12][0-9]|3[01])$") & time.rlike("^([01][0-9]|2[0-3])[0-5][0-9]$")
-    month = F.date_trunc("month", received)
-    day_no = F.when(good, day.cast("int"))
-    minutes = F.when(good, F.substring(time, 1, 2).cast("int") * 60 + F.substring(time, 3, 2).cast("int"))
-    tries = []
-    for back in range(4):
-        first = F.add_months(month, -back)
-        date = F.date_add(first, day_no - 1)
-        at = F.timestamp_seconds(F.unix_seconds(date.cast("timestamp")) + minutes * 60)
-        tries.append(F.when((F.last_day(first) >= date) & (at <= received), at))
-    return F.coalesce(*tries)
+    """The latest instant with that day of month and time of day not after `received`; null unless the day is 01-31 and the
+    time 0000-2359. It lies in the month of arrival, the one before, or, where that is too short, the one before that: a
+    short month always follows a long one."""
+    number = F.when(has_time(day, time), day.try_cast("int"))
+    minute = F.substring(time, 1, 2).try_cast("int") * 60 + F.substring(time, 3, 2).try_cast("int")
+    arrived = F.floor(F.unix_seconds(received) / 86400).cast("int")
+    on = F.date_from_unix_date(arrived)
+    first = arrived - F.dayofmonth(on) + 1  # days since 1970, of the month's first day
+    before = F.dayofmonth(F.date_from_unix_date(first - 1))  # length of the month before
+    gone = (number < F.dayofmonth(on)) | ((number == F.dayofmonth(on)) & (minute * 60 <= F.pmod(F.unix_seconds(received), F.lit(86400))))
+    start = F.when(gone, first).when(number <= before, first - before).otherwise(first - before - 31)
+    return F.timestamp_seconds((start + number - 1).cast("long") * 86400 + minute * 60)
 
 
 def celsius(text: Column) -> Column:
@@ -29,10 +37,11 @@ def celsius(text: Column) -> Column:
 def reports(df: DataFrame) -> DataFrame:
     """report_id, station, at, temperature, dew, of the reports whose time is valid."""
     received = F.col("received_at").cast("timestamp")
-    return df.select(
+    timed = df.filter(has_time(F.col("date_expr.day"), F.col("date_expr.time")) & received.isNotNull() & F.col("station").isNotNull())
+    return timed.select(
         "report_id",
         "station",
         observed_at(F.col("date_expr.day"), F.col("date_expr.time"), received).alias("at"),
         celsius(F.col("temperature_expr.temperature")).alias("temperature"),
         celsius(F.col("temperature_expr.dew")).alias("dew"),
-    ).filter(F.col("at").isNotNull() & F.col("station").isNotNull())
+    )

@@ -14,8 +14,7 @@ input's other columns are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,39 +43,75 @@ def _text_units(text: str) -> Column:
     return named_units(text)
 
 
-def declared(reports: DataFrame, stations: DataFrame) -> DataFrame:
-    """report_id, station, and for wind and pressure the number and the declared scale to the canonical unit.
+def _each(texts: pd.Series, f) -> np.ndarray:
+    """f of every text, called once per distinct one."""
+    codes, distinct = pd.factorize(texts)
+    found = np.empty(len(distinct) + 1, object)
+    found[:-1] = [f(t) for t in distinct]
+    found[-1] = f(None)
+    return found[codes]
 
-    One pass of the grammar over each batch; its caches hold the distinct texts of a batch.
-    """
-    notes = stations.select(F.col("icao").alias("station"), _text_units("note").alias("_note")).dropDuplicates(["station"])
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        speed = lambda u: u.scale if u and u.vector == U.SPEED.vector else None
-        pressure = lambda u: u.scale / U.HECTOPASCAL.scale if u and u.vector == U.PRESSURE.vector else None
-        text = lambda x: x if isinstance(x, str) else None
-        for pdf in batches:
-            rows = []
-            for i, s, sp, su, pn, pu, remark in zip(*(pdf[c] for c in pdf.columns)):
-                wind, wind_unit = U.parse_quantity(text(sp))
-                press, press_unit = U.parse_quantity(text(pn))
-                named = U.units_in_text(text(remark))
-                w = speed(wind_unit) or speed(U.parse_unit(text(su)))
-                p = pressure(press_unit) or pressure(U.parse_unit(text(pu)))
-                rows.append((i, s, wind, w or speed(U.unit_of_kind(named, U.SPEED)), press, p or pressure(U.unit_of_kind(named, U.PRESSURE))))
-            yield pd.DataFrame(rows, columns=["report_id", "station", "wind", "wind_scale", "pressure", "pressure_scale"], dtype=object)
-
-    flat = reports.select(
-        "report_id", "station", F.col("wind_expr.speed").alias("_a"), F.col("wind_expr.unit").alias("_b"), F.col("pressure_expr.num").alias("_c"), F.col("pressure_expr.unit").alias("_d"), F.col("remark").alias("_e")
-    )
-    rows = flat.mapInPandas(parse, "report_id long, station string, wind double, wind_scale double, pressure double, pressure_scale double")
-    return rows.join(notes, "station", "left").select(
+
+def _declared(numbers: pd.Series, units: pd.Series, remarks: pd.Series, kind: U.Unit, to: float) -> pd.DataFrame:
+    scale = lambda u: u.scale / to if u and u.vector == kind.vector else np.nan
+    quantities = _each(numbers, lambda t: (lambda n, u: (np.nan if n is None else n, scale(u)))(*U.parse_quantity(t)))
+    number, own = (np.array([q[k] for q in quantities], float) for k in (0, 1))
+    field = _each(units, lambda t: scale(U.parse_unit(t))).astype(float)
+    said = _each(remarks, lambda t: scale(U.unit_of_kind(U.units_in_text(t), kind))).astype(float)
+    return pd.DataFrame({"number": number, "scale": np.where(np.isnan(own), np.where(np.isnan(field), said, field), own)})
+
+
+def declared_wind(speed: Column, unit: Column, remark: Column) -> Column:
+    """struct<number, scale>: the wind's number and the scale to m/s that value, unit field or remark declare, NaN where
+    they don't. The grammar runs once per distinct text of a batch; other columns stay in the JVM."""
+
+    @F.pandas_udf("struct<number:double,scale:double>")
+    def wind(numbers: pd.Series, units: pd.Series, remarks: pd.Series) -> pd.DataFrame:
+        return _declared(numbers, units, remarks, U.SPEED, U.METRES_PER_SECOND.scale)
+
+    return wind(speed, unit, remark)
+
+
+def declared_pressure(number: Column, unit: Column, remark: Column) -> Column:
+    """The same for a pressure and hPa."""
+
+    @F.pandas_udf("struct<number:double,scale:double>")
+    def pressure(numbers: pd.Series, units: pd.Series, remarks: pd.Series) -> pd.DataFrame:
+        return _declared(numbers, units, remarks, U.PRESSURE, U.HECTOPASCAL.scale)
+
+    return pressure(number, unit, remark)
+
+
+def defaults(stations: DataFrame) -> DataFrame:
+    """station, default struct<wind, pressure>: the scales that a station's note names; one row per station."""
+    return stations.select(F.col("icao").alias("station"), _text_units("note").alias("default")).dropDuplicates(["station"])
+
+
+def _number(quantity: str) -> Column:
+    return F.nanvl(f"{quantity}.number", F.lit(None).cast("double"))
+
+
+def _scale(quantity: str, default: str) -> Column:
+    return F.coalesce(F.nanvl(f"{quantity}.scale", F.lit(None).cast("double")), f"default.{default}", F.lit(1.0))
+
+
+def winds(reports: DataFrame, stations: DataFrame, keep: list[Column]) -> DataFrame:
+    """The columns of `keep` and wind_mps, for callers that need no pressure."""
+    rows = reports.select("station", *keep, declared_wind(F.col("wind_expr.speed"), F.col("wind_expr.unit"), F.col("remark")).alias("_w"))
+    both = rows.join(defaults(stations), "station", "left").withColumn("wind_mps", _number("_w") * _scale("_w", "wind"))
+    return both.drop("_w", "default")
+
+
+def declared(reports: DataFrame, stations: DataFrame) -> DataFrame:
+    """report_id, station, and for wind and pressure the number and the declared scale to the canonical unit."""
+    rows = reports.select(
         "report_id",
         "station",
-        "wind",
-        F.coalesce("wind_scale", "_note.wind", F.lit(1.0)).alias("wind_scale"),
-        "pressure",
-        F.coalesce("pressure_scale", "_note.pressure", F.lit(1.0)).alias("pressure_scale"),
+        declared_wind(F.col("wind_expr.speed"), F.col("wind_expr.unit"), F.col("remark")).alias("_w"),
+        declared_pressure(F.col("pressure_expr.num"), F.col("pressure_expr.unit"), F.col("remark")).alias("_p"),
+    )
+    return rows.join(defaults(stations), "station", "left").select(
+        "report_id", "station", _number("_w").alias("wind"), _scale("_w", "wind").alias("wind_scale"), _number("_p").alias("pressure"), _scale("_p", "pressure").alias("pressure_scale")
     )
 
 

@@ -34,14 +34,21 @@ def celsius(text: Column) -> Column:
     return F.when(text.rlike("^M?[0-9]+$"), F.regexp_replace(text, "^M", "-").try_cast("double"))
 
 
-def reports(df: DataFrame) -> DataFrame:
-    """report_id, station, at, temperature, dew, of the reports whose time is valid."""
-    received = F.col("received_at").cast("timestamp")
-    timed = df.filter(has_time(F.col("date_expr.day"), F.col("date_expr.time")) & received.isNotNull() & F.col("station").isNotNull())
-    return timed.select(
-        "report_id",
-        "station",
-        observed_at(F.col("date_expr.day"), F.col("date_expr.time"), received).alias("at"),
+def valid(df: DataFrame) -> Column:
+    """Reports of a station with a valid time."""
+    return has_time(F.col("date_expr.day"), F.col("date_expr.time")) & F.col("received_at").isNotNull() & F.col("station").isNotNull()
+
+
+def columns() -> list[Column]:
+    """report_id, at, temperature, dew of a report."""
+    return [
+        F.col("report_id"),
+        observed_at(F.col("date_expr.day"), F.col("date_expr.time"), F.col("received_at").cast("timestamp")).alias("at"),
         celsius(F.col("temperature_expr.temperature")).alias("temperature"),
         celsius(F.col("temperature_expr.dew")).alias("dew"),
-    )
+    ]
+
+
+def reports(df: DataFrame) -> DataFrame:
+    """station, report_id, at, temperature, dew, of the reports whose time is valid."""
+    return df.filter(valid(df)).select("station", *columns())

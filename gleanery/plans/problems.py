@@ -30,7 +30,7 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_implausible(spark: SparkSession, sf: str) -> DataFrame:
-    readings = spikes.readings_of(report_times.reports(table(spark, sf, "weather_report")), p4_canonical(spark, sf))
+    readings = spikes.readings_of(table(spark, sf, "weather_report"), table(spark, sf, "station"))
     return spikes.implausible(readings).withColumnRenamed("id", "report_id")
 
 

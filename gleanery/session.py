@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,9 +74,33 @@ def discard(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
-def list_names(spark: SparkSession, path: str) -> list[str]:
+def list_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(name, bytes) of what a folder holds; nothing if there is no such folder."""
     system, target = file_system(spark, path)
-    return [s.getPath().getName() for s in system.listStatus(target)] if system.exists(target) else []
+    return [(s.getPath().getName(), s.getLen()) for s in system.listStatus(target)] if system.exists(target) else []
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    return [name for name, _ in list_sizes(spark, path)]
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """The session's settings changed for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def interpreted(spark: SparkSession):
+    """For many short plans over few rows: compiling their code costs more than it saves, and drives the code of the long
+    ones out of the executors' caches (100 entries)."""
+    return settings(spark, {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
 
 
 def read_text(spark: SparkSession, path: str) -> str:

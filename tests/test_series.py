@@ -56,7 +56,7 @@ def test_spikes_equal_brute_force(spark, seed):
             if rng.random() < 0.05:
                 rows.append((n := n + 1, *rows[-1][1:]))
     df = spark.createDataFrame(rows, "id long, source string, at timestamp, temperature double, dew double, speed double")
-    got = {(r.id, r.field, r.kind) for r in S.implausible(df, S.Limits(block_days=1, warm_up=4)).collect()}
+    got = {(r.id, r.field, r.kind) for r in S.implausible(df, S.Limits(block_days=1)).collect()}
     want = set()
     hot = brute(rows, "temperature", 6.0)
     for field, jump in S.Limits().jump:
@@ -71,9 +71,24 @@ def test_spikes_equal_brute_force(spark, seed):
 
 def test_chart_clips_before_it_updates():
     x = np.array([10.0] * 20 + [90.0] + [10.0] * 5 + [11.0] * 3)
-    found = S.chart(x, 6.0, S.Limits())
+    found = S.signals(x, np.zeros(1, int), 6.0, S.Limits())
     assert found[20] and not found[22:26].any()
-    assert not S.chart(np.zeros(0), 6.0, S.Limits()).any()
+    assert not S.signals(np.zeros(0), np.zeros(0, int), 6.0, S.Limits()).any()
+    twice = S.signals(np.concatenate((x, x[15:])), np.array([0, len(x)]), 6.0, S.Limits())
+    assert (twice[: len(x)] == found).all() and twice[len(x) + 5]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chart_misses_no_spike(seed):
+    """Everything that the exact check finds with all readings as suspects, it finds with the chart's."""
+    rng = np.random.default_rng(seed)
+    n = 4000
+    x = np.cumsum(rng.normal(0, rng.choice([0.2, 2.0, 6.0]), n)) + np.repeat(rng.normal(0, 15, n // 100), 100)
+    hit = rng.random(n) < 0.05
+    x[hit] += rng.choice([-1, 1], hit.sum()) * rng.uniform(6, 40, hit.sum())
+    series, everything = np.zeros(n, int), np.ones(n, bool)
+    found, every = (set(S.spike_sizes(x, s, series, 6.0)[0].tolist()) for s in (S.signals(x, np.zeros(1, int), 6.0, S.Limits()), everything))
+    assert found == every and found and S.spike_sizes(x, ~everything, series, 6.0)[0].size == 0
 
 
 def test_no_readings(spark):

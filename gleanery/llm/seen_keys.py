@@ -76,7 +76,7 @@ class SeenKeys:
         if not self.store.runs["keys"]:
             run = self.store.stage("keys", fresh)
             self.store.commit({"keys": run})
-            new = self.store.tables("keys")[0] if run.rows else fresh.limit(0)
+            new = self.store.tables("keys")[0] if run.size else fresh.limit(0)
             return new.select("_first", none.alias("_same"), F.lit(False).alias("_hash_only"))
         with self.store.trusted():
             equal = F.when(F.col("_key") == F.col("_stored"), F.col("_was"))

@@ -104,7 +104,8 @@ class RunStore:
         key, folder, name = self.keys[table], f"{table}/{uuid.uuid4().hex[:12]}", f"run_{uuid.uuid4().hex[:16]}"
         (
             rows.write.format("parquet").option("path", f"{self.path}/{folder}").option("parquet.block.size", self.block_bytes)
-            .option("parquet.dictionary.page.size", self.block_bytes // 2)  # titles and signatures repeat
+            .option("parquet.dictionary.page.size", self.block_bytes // 2)  # titles and signatures repeat, hashes don't
+            .option(f"parquet.enable.dictionary#{key}", "false").option("parquet.enable.dictionary#ref", "false")
             .bucketBy(buckets, key).sortBy(key).saveAsTable(name)
         )
         self._registered[folder] = name

@@ -255,7 +255,8 @@ def test_links_in_crowded_buckets(spark):
         assert {frozenset((r.a, r.b)) for r in links.collect()} == {frozenset((1, 2)), frozenset((2, 3))}
 
 
-def test_many_slips_of_one_name_in_a_batch(spark):
+def test_many_slips_of_one_name_in_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(R, "NEIGHBOURS", 5)
     title = "wandering lanterns of the northern quarry"
     rows = [(i, f"[G] {title[:i] + title[i + 1 :]} - 01 [720p][AVC]", None, 1) for i in range(1, 40) if " " not in title[i - 1 : i + 2]]
     got = {r.id_again for r in R.repeats(spark.createDataFrame(rows, SCHEMA), "torrent_url", "torrent_name", "batch_no").collect()}
@@ -276,10 +277,10 @@ def test_band_keys_recall(letters, edits):
     rng = random.Random(letters * 100 + edits)
     titles = [("".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(20)))[:letters] for _ in range(400)]
     pairs = [(a, b) for a in titles if (b := edited(a, edits, rng)) != a]
-    a, b = (R.band_keys(list(x), np.zeros(len(pairs), np.int64), 10, 2) for x in zip(*pairs))
+    a, b = (R.band_keys(list(x), np.zeros(len(pairs), np.int64), 8, 2) for x in zip(*pairs))
     assert (a[0] == b[0]).any(1).mean() >= 0.9
     assert max(bin(int(x) & (2**64 - 1)).count("1") + bin(int(y) & (2**64 - 1)).count("1") for x, y in a[1] ^ b[1]) <= 4 * edits
-    c = R.band_keys([p[0] for p in pairs], np.ones(len(pairs), np.int64), 10, 2)
+    c = R.band_keys([p[0] for p in pairs], np.ones(len(pairs), np.int64), 8, 2)
     assert not (a[0] == c[0]).any() and (a[1] == c[1]).all()
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 LEAST, GREATEST = -(1 << 31), (1 << 31) - 1
 TOKEN = re.compile(r"[0-9]+|[-+*/()]")
+NAMED = re.compile(r"[A-Za-z_]\w*|[0-9]+|[-+*/()]")
 RANK = {"+": 1, "-": 1, "*": 2, "/": 2}
 
 
@@ -26,13 +27,13 @@ class Failure(ValueError):
     """An expression that cannot be read; its text names the reason."""
 
 
-def lex(text: str) -> list[str]:
-    out, at = [], 0
+def lex(text: str, names: bool = False) -> list[str]:
+    token, out, at = NAMED if names else TOKEN, [], 0
     while at < len(text):
         if text[at] == " ":
             at += 1
             continue
-        m = TOKEN.match(text, at)
+        m = token.match(text, at)
         if not m:
             raise Failure("UnknownChar")
         if m[0].isdigit() and int(m[0]) > GREATEST:
@@ -44,7 +45,7 @@ def lex(text: str) -> list[str]:
 
 def postfix(text: str, compat: bool = False, names: bool = False) -> list:
     """The expression in postfix order: ints, names, operators and `neg`."""
-    tokens = re.findall(r"[A-Za-z_]\w*|[0-9]+|[-+*/()]", text) if names else lex(text)
+    tokens = lex(text, names)
     out: list = []
     stack: list[tuple[str, bool]] = []  # (operator or bracket, minus before the bracket)
     expect_value, at = True, 0
@@ -140,14 +141,16 @@ def evaluate(df: DataFrame, text: str, into: str = "result", compat: bool = Fals
     return df.withColumn(into, run(F.col(text)))
 
 
-def compile_expression(template: str, columns: dict[str, Column] | None = None, compat: bool = False) -> Column:
-    """One template as a Column of int; null on overflow, 0 where a division is undefined."""
+def compile_expression(template: str, columns: dict[str, Column] | None = None, compat: bool = False, wrap: bool = True) -> Column:
+    """One template as a Column of int; sums and products wrap as in `evaluate`, or are null on overflow (wrap=False); 0 where
+    a division is undefined. A template that cannot be read raises Failure."""
     stack: list[Column] = []
+    bounded = lambda x: (F.pmod(x - F.lit(LEAST), F.lit(1 << 32)) + F.lit(LEAST)).cast("int") if wrap else x.try_cast("int")
     for step in postfix(template, compat, names=True):
         if isinstance(step, int):
             stack.append(F.lit(step).cast("int"))
         elif step == "neg":
-            stack.append(F.try_subtract(F.lit(0), stack.pop()))
+            stack.append(bounded(-stack.pop().cast("long")))
         elif step not in RANK:
             stack.append((columns or {}).get(step, F.col(step)).cast("int"))
         else:
@@ -157,5 +160,6 @@ def compile_expression(template: str, columns: dict[str, Column] | None = None,
                 whole = F.when(q < 0, F.ceil(q)).otherwise(F.floor(q))
                 stack.append(F.when(a.isNull() | b.isNull(), None).otherwise(F.coalesce(whole.try_cast("int"), F.lit(0))))
             else:
-                stack.append({"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[step](a, b))
+                long = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y}[step](a.cast("long"), b.cast("long"))
+                stack.append(bounded(long))  # 32 bits each, so 64 hold any of these
     return stack[0]

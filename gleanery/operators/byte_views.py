@@ -27,20 +27,18 @@ def byte_numbers(content: Column) -> Column:
     return F.when(n > 0, numbers).when(n == 0, F.array().cast("array<int>"))
 
 
+_CLASSES = {name: "".join(chr(b) for b in range(256) if keep(b)) for name, keep in (("GREY", lambda b: b == 0), ("BLUE", lambda b: 0x21 <= b <= 0x7E), ("YELLOW", lambda b: 0x80 <= b <= 0xFE))}
+
+
 def class_counts(df: DataFrame, content: str) -> DataFrame:
-    """class, count over all bytes of all rows; counted per row by removing, so no byte becomes a row of its own."""
-    text = F.hex(F.col(content))
-    pairs = F.regexp_replace(text, "(..)", "$1 ")
-    hits = lambda pattern: (F.length(pairs) - F.length(F.regexp_replace(pairs, pattern, ""))) / 3
-    grey, blue, yellow = hits("00 "), hits("(2[1-9A-F]|[3-6][0-9A-F]|7[0-9A-E]) "), hits("([89A-E][0-9A-F]|F[0-9A-E]) ")
-    per = df.select(grey.alias("GREY"), blue.alias("BLUE"), yellow.alias("YELLOW"), (F.length(pairs) / 3).alias("ALL"))
-    total = per.agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("GREY", "BLUE", "YELLOW", "ALL")))
-    rows = F.explode(
-        F.array(
-            *(F.struct(F.lit(c).alias("class"), F.col(c).cast("long").alias("count")) for c in ("GREY", "BLUE", "YELLOW")),
-            F.struct(F.lit("GREEN").alias("class"), (F.col("ALL") - F.col("GREY") - F.col("BLUE") - F.col("YELLOW")).cast("long").alias("count")),
-        )
-    )
+    """class, count over all bytes of all rows; counted per row by what is left when a class is taken out, one character per
+    byte, so no byte becomes a row of its own."""
+    one_per_byte = df.select(F.decode(F.col(content), "ISO-8859-1").alias("x"))
+    without = lambda c: F.length("x") - F.length(F.translate("x", _CLASSES[c], ""))
+    per = one_per_byte.select(*(without(c).alias(c) for c in _CLASSES), F.length("x").alias("ALL"))
+    total = per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*_CLASSES, "ALL")))
+    rest = F.col("ALL") - F.col("GREY") - F.col("BLUE") - F.col("YELLOW")
+    rows = F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(c).alias("count")) for c in _CLASSES), F.struct(F.lit("GREEN").alias("class"), rest.alias("count"))))
     return total.select(rows.alias("r")).select("r.*").filter("count > 0")
 
 
@@ -55,6 +53,36 @@ def viewport(content: Column, line: Column, height: int) -> Column:
     return F.substring(content, F.greatest(line, F.lit(0)) * ROW + 1, F.lit(ROW * height))
 
 
+def search_line(content: Column, pattern: Column, line: int, height: int) -> Column:
+    """The line of the first occurrence after the page of `height` lines that begins at `line`; the line itself if there is
+    none."""
+    found = line_of(find_offset(content, pattern, (max(line, 0) + height) * ROW))
+    return F.coalesce(found, F.lit(line))
+
+
+def after_keys(keys: Column, start: Column) -> Column:
+    """The line shown after an array of keys: `down`, `up`, `page_down` and `page_up` move by 1 or 10 and never above the
+    first line, a number goes to that line; a step up that would leave the beginning is none, other keys change nothing."""
+    steps = {"down": 1, "up": -1, "page_down": 10, "page_up": -10}
+
+    def step(at: Column, key: Column) -> Column:
+        moved = F.when(key.rlike("^[0-9]+$"), F.coalesce(key.try_cast("int"), at))
+        for name, by in steps.items():
+            moved = moved.when((key == name) & (at + by >= 0), at + by)
+        return moved.otherwise(at)
+
+    return F.reduce(keys, start.cast("int"), step)
+
+
+def dump_rows(df: DataFrame, key: str, content: str) -> DataFrame:
+    """key, row_no, line: rows of a log dump; sixteen bytes in hexadecimal, short rows padded, then the letters and digits of
+    the same bytes, blanks for the rest."""
+    shown = hex_rows(df, key, content)
+    text = F.decode(F.unhex(F.regexp_replace("hex", " ", "")), "ISO-8859-1")
+    plain = F.regexp_replace(text, r"[^\p{L}\p{Nd}²³¹¼½¾]", " ")
+    return shown.select(key, (F.conv("address", 16, 10).cast("long") / ROW).cast("long").alias("row_no"), F.concat(F.rpad("hex", 3 * ROW, " "), plain).alias("line"))
+
+
 def line_of(offset: Column) -> Column:
     return F.when(offset >= 0, F.floor(offset / ROW).cast("int"))
 

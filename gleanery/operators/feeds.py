@@ -6,8 +6,10 @@ one; `now` is always a parameter; of equal addresses in one batch the first in o
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 DEFAULT_RANGE = 90
@@ -60,6 +62,32 @@ def select_entries(entries: DataFrame, text: str, own_exclude: str, exclude: str
     return entries.filter(~excluded(F.col(text), F.col(own_exclude), general(exclude)) & included(F.col(text), general(include), own))
 
 
+def rule_error(rule: Column) -> Column:
+    """Why a pattern cannot be used; null if it can, or if there is none."""
+
+    def check(text: str) -> str | None:
+        try:
+            re.compile(text)
+        except re.error as e:
+            return str(e)
+
+    @F.pandas_udf("string")
+    def errors(rules: pd.Series) -> pd.Series:
+        known = {text: check(text) for text in rules.dropna().unique()}
+        return pd.Series([known.get(text) for text in rules], dtype=object)
+
+    return errors(rule)
+
+
+def judged_entries(entries: DataFrame, text: str, rules: DataFrame, by: str, rule: str) -> DataFrame:
+    """entries with `chosen` and `error`: a subscription's pattern that cannot be read makes an error of its own entries only.
+    The patterns are checked once per subscription (rules: by, rule), before any row meets them."""
+    checked = rules.select(by, F.col(rule).alias("_rule")).dropDuplicates([by]).withColumn("_error", rule_error(F.col("_rule")))
+    good = checked.withColumn("_rule", F.when(F.col("_error").isNull(), F.col("_rule")))
+    joined = entries.join(good, by, "left")
+    return joined.select(*entries.columns, (F.col("_error").isNull() & ~excluded(F.col(text), F.col("_rule"), F.lit(None).cast("string"))).alias("chosen"), F.col("_error").alias("error"))
+
+
 def links(entries: DataFrame, key: str, links: str = "links", kind: str = TORRENT) -> DataFrame:
     """key, pos, href of the links of a type; links is array<struct<type,href>>."""
     some = F.filter(F.col(links), lambda x: x["type"] == kind)
@@ -83,10 +111,11 @@ def new_downloads(rows: DataFrame, record: DataFrame, key: str, order: str) -> D
     return first_wins(not_recorded(rows, record, key), key, order)
 
 
-def payload(name: Column, content: Column, directory: Column, token: Column, number: Column) -> Column:
-    """A JSON-RPC call that hands base64 content over; a token, if there is one, stands first among the parameters."""
-    options = F.to_json(F.struct(directory.alias("dir"), name.alias("out")))
+def payload(name: Column, content: Column, directory: Column, token: Column) -> Column:
+    """A JSON-RPC call that hands base64 content over, to be stored in the directory's folder of that name; a token, if there
+    is one, stands first among the parameters."""
+    options = F.to_json(F.struct(F.concat_ws("/", F.regexp_replace(directory, "(?<=.)/+$", ""), name).alias("dir")))
     quoted = F.concat(F.lit('"'), F.regexp_replace(F.base64(content), r"\s", ""), F.lit('"'))
     secret = F.when(F.coalesce(token, F.lit("")) != "", F.concat(F.lit('"token:'), token, F.lit('"')))
     params = F.concat(F.lit("["), F.concat_ws(",", secret, quoted, F.lit("[]"), options), F.lit("]"))
-    return F.concat(F.lit('{"jsonrpc":"2.0","id":"'), number.cast("string"), F.lit('","method":"aria2.addTorrent","params":'), params, F.lit("}"))
+    return F.concat(F.lit('{"jsonrpc":"2.0","id":1,"method":"aria2.addTorrent","params":'), params, F.lit("}"))

@@ -71,6 +71,20 @@ def missing_slots(slots: DataFrame, closure_days: int = 30) -> DataFrame:
     return same_day.unionByName(rest).unionByName(start).unionByName(whole)
 
 
+def numbered_rows(df: DataFrame, order: str, into: str) -> DataFrame:
+    """df with numbers from 1 in order of a column; sorted by ranges, so no task holds all rows."""
+    ranged = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "ranged")
+    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # one per partition
+    base, offsets = 0, []
+    for p in sorted(sizes):
+        offsets.append((p, base))
+        base += sizes[p]
+    start = F.lit(0)
+    for p, n in offsets:
+        start = F.when(F.col("_p") == p, F.lit(n)).otherwise(start)
+    return ranged.withColumn(into, (F.row_number().over(W.partitionBy("_p").orderBy(order)) + start).cast("int")).drop("_p")
+
+
 def slot_time(day: Column, minute: Column) -> Column:
     return F.timestamp_seconds(day.cast("long") * 86400 + minute.cast("long") * 60)
 
@@ -82,7 +96,7 @@ def factorise(slots: DataFrame, missing: DataFrame, column_minutes: int, rank: i
     column = lambda: F.floor((F.col("day").cast("long") * MINUTES + F.col("minute")) / column_minutes).cast("int")
     plausible = slots.filter(F.abs("value") <= bound)
     means = plausible.groupBy("source").agg(F.avg("value").alias("mean"), F.count("*").alias("held"))
-    ids = materialize(means.withColumn("row", F.dense_rank().over(W.orderBy("source"))), "sources")  # one row per source
+    ids = materialize(numbered_rows(means, "source", "row"), "sources")
     cells = materialize(
         plausible.join(ids, "source").groupBy("row", column().alias("column")).agg(F.avg(F.col("value") - F.col("mean")).cast("float").alias("cell")), "cells"
     )
@@ -125,3 +139,19 @@ def regular_grid(
             "source", slot_time(F.col("day"), F.col("minute")).alias("slot"), F.col("filled").alias("value"), F.when(F.col("filled").isNull(), "missing").otherwise("filled").alias("status")
         )
     )
+
+
+def held_out_error(readings: DataFrame, sources: DataFrame, one_in: int = 20, **options) -> DataFrame:
+    """cells, filled, error, error_of_mean: one slot in `one_in` (by its hash) is held back; the mean absolute error of the
+    filled values there, and that of each source's mean in their place."""
+    slots = materialize(occupied_slots(readings, sources).filter(F.abs("value") <= options.get("bound", 60.0)), "slots")
+    at = slots.select("source", slot_time(F.col("day"), F.col("minute")).alias("slot"), "value")
+    held = F.pmod(F.xxhash64("source", "slot"), F.lit(one_in)) == 0
+    kept = at.filter(~held)
+    grid = regular_grid(kept.withColumnRenamed("slot", "at"), sources, **options).filter("status = 'filled'").select("source", "slot", F.col("value").alias("guess"))
+    means = kept.groupBy("source").agg(F.avg("value").alias("mean"))
+    judged = at.filter(held).join(grid, ["source", "slot"], "left").join(means, "source", "left")
+    return judged.agg(
+        F.count("*").alias("cells"), F.count("guess").alias("filled"), F.avg(F.abs(F.col("value") - F.col("guess"))).alias("error"),
+        F.avg(F.when(F.col("guess").isNotNull(), F.abs(F.col("value") - F.col("mean")))).alias("error_of_mean"),
+    )

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gleanery.session import materialize
+
 Layout = list[tuple[str, int, int]]
 
 # The layouts of 64-bit executables and of the container files.
@@ -107,6 +109,51 @@ def containers(files: DataFrame, key: str, content: str, start: int, stride: int
     return e.select(key, "magic", "idx", name.alias("name"), "e.offset", "e.length", "e.checksum")
 
 
+# The magic numbers of the container variants, and where each holds its entries: begin, stride, whether the
+# header's count (else its size) ends them, and whether offsets count from the header.
+VARIANTS = {"KWS": (0x484B5753, 64, 44, False, False), "K20": (0x484B3230, None, None, None, None), "K30": (0x484B3330, 240, 64, True, True)}
+
+
+def container_headers(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, at, variant, magic, checksum, size, count: the header that a content begins with, by its magic number; contents
+    with another begin, or too short for a header, have none. For a variant without entries this is all there is."""
+    c = F.col(content)
+    t = files.select(F.col(key), fields(c, F.lit(0), CONTAINER_HEADER).alias("h")).filter("h.count is not null")
+    variant = F.lit(None).cast("string")
+    for name, (magic, *_) in VARIANTS.items():
+        variant = F.when(F.col("h.magic") == magic, name).otherwise(variant)
+    return t.select(key, variant.alias("variant"), "h.*").filter("variant is not null")
+
+
+def dispatched(files: DataFrame, key: str, content: str) -> DataFrame:
+    """key, header_at, variant, idx, name, offset, length, checksum of the entries of all headers of a file: every header is
+    followed by its entries' bytes up to the next one. Reading stops at an unknown magic number or at the end; offsets are
+    absolute in the file."""
+    rest = files.select(F.col(key), F.lit(0).cast("long").alias("header_at"), F.col(content).alias("content")).filter(F.octet_length("content") >= 16)
+    out = None
+    while True:
+        heads = materialize(container_headers(rest, key, "content").join(rest, key), "headers")
+        if heads.isEmpty():
+            break
+        found = None
+        for name, (_, start, stride, by_count, relative) in VARIANTS.items():
+            if start is not None:
+                part = containers(heads.filter(F.col("variant") == name), key, "content", start, stride, not by_count)
+                part = part.join(heads.select(key, "header_at", "variant"), key).withColumn("offset", F.col("offset") + (F.col("header_at") if relative else F.lit(0)))
+                found = part if found is None else found.unionByName(part)
+        found = materialize(found, "entries")
+        out = found if out is None else out.unionByName(found)
+        ends = found.groupBy(key).agg(F.max(F.col("offset") + F.col("length")).alias("_end"))
+        after = heads.join(ends, key, "left").withColumn("_at", F.greatest(F.col("header_at") + F.col("size"), F.coalesce("_end", F.lit(0))))
+        rest = after.select(key, F.col("_at").alias("header_at"), F.expr("substring(content, CAST(_at - header_at AS INT) + 1)").alias("content")).filter(F.octet_length("content") >= 16)
+    columns = [key, "header_at", "variant", "idx", "name", "offset", "length", "checksum"]
+    if out is None:
+        empty = files.select(F.col(key)).limit(0)
+        kinds = dict(zip(columns[1:], ["long", "string", "int", "string", "long", "long", "long"]))
+        return empty.select(key, *(F.lit(None).cast(k).alias(c) for c, k in kinds.items()))
+    return out.select(*columns)
+
+
 def payloads(files: DataFrame, entries: DataFrame, key: str, content: str) -> DataFrame:
     """entries with the bytes that they name."""
     return entries.join(files.select(key, F.col(content).alias("_c")), key).select(

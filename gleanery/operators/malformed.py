@@ -232,6 +232,9 @@ def valid_lines(loaded: DataFrame) -> DataFrame:
     return loaded.filter(F.size("failures") == 0).drop("failures")
 
 
+SPAN = 256  # chunks whose maps are composed at once
+
+
 def chunk_transitions(chunks: DataFrame, content: str = "content", delimiter: str = ",", quote: str = '"') -> DataFrame:
     """Add `_map binary`: for each state before a chunk of a multi-line file the state after it."""
     table, lut = transition_table(True), byte_classes(delimiter, quote, "\n")
@@ -268,13 +271,19 @@ def split_chunks(chunks: DataFrame, file: str = "path", number: str = "chunk_no"
     """
     table, lut = transition_table(True), byte_classes(delimiter, quote, "\n")
     sized = chunk_transitions(chunks, content, delimiter, quote)
-    order = W.partitionBy(file).orderBy(number)
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    compose = F.aggregate(F.col("_maps"), F.lit(NEW), lambda s, m: F.conv(F.hex(F.substring(m, s + 1, F.lit(1))), 16, 10).cast("int"))
-    light = sized.select(file, number, "_map", F.length(content).cast("long").alias("_n"))
-    starts = light.select(
-        file, number, F.collect_list("_map").over(before).alias("_maps"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")
-    ).select(file, number, compose.alias("_state"), "_base")
+    before = W.partitionBy(file).orderBy(number).rowsBetween(W.unboundedPreceding, -1)
+    states = F.transform(F.sequence(F.lit(1), F.lit(STATES)), lambda i: F.conv(F.hex(F.substring("_map", i, F.lit(1))), 16, 10).cast("int"))
+    light = sized.select(file, number, F.floor(F.col(number) / SPAN).alias("_block"), states.alias("_m"), F.length(content).cast("long").alias("_n"))
+    # Two levels: maps are composed inside blocks of SPAN chunks, then block by block.
+    identity = F.array(*map(F.lit, range(STATES)))
+    composed = lambda maps: F.aggregate(maps, identity, lambda acc, m: F.transform(acc, lambda s: F.get(m, s)))
+    earlier = W.partitionBy(file, "_block").orderBy(number).rowsBetween(W.unboundedPreceding, -1)
+    inner = light.select(file, number, "_block", composed(F.collect_list("_m").over(earlier)).alias("_inner"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_near"))
+    blocks = light.groupBy(file, "_block").agg(F.array_sort(F.collect_list(F.struct(number, "_m"))).alias("_ms"), F.sum("_n").alias("_bn")).withColumn("_bm", composed(F.transform("_ms", lambda x: x["_m"])))
+    upto = W.partitionBy(file).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    begins = F.aggregate(F.collect_list("_bm").over(upto), F.lit(NEW), lambda s, m: F.get(m, s))
+    blocks = blocks.select(file, "_block", begins.alias("_begin"), F.coalesce(F.sum("_bn").over(upto), F.lit(0)).alias("_far"))
+    starts = inner.join(blocks, [file, "_block"]).select(file, number, F.get("_inner", F.col("_begin")).alias("_state"), (F.col("_far") + F.col("_near")).alias("_base"))
     ready = chunks.select(file, number, content).join(starts, [file, number])
     schema = ready.select(file, number).schema.simpleString()[7:-1]
 

@@ -8,7 +8,9 @@ an empty prefix selects nothing; repeated elements move together.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from gleanery.operators.snapshots import with_previous
 
 NOTE = "struct<`note-info`:struct<id:string,type:string,children:array<string>,parent:string>,content:string,checked:boolean>"
 TYPES = ("header", "paragraph", "todo")
@@ -81,6 +83,14 @@ def reconcile(shown: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return gone.unionByName(new)
 
 
+def synchronised(shown: DataFrame, wanted: DataFrame, key: str, pos: str) -> DataFrame:
+    """key, action (`remove`, `add`, `move` or `keep`), pos (wanted; null for what goes): what brings a shown list to the
+    wanted order. Both hold key and pos; what stays is moved if its place differs."""
+    a, b = shown.select(F.col(key), F.col(pos).alias("_a")).dropDuplicates([key]), wanted.select(F.col(key), F.col(pos).alias("_b")).dropDuplicates([key])
+    action = F.when(F.col("_b").isNull(), "remove").when(F.col("_a").isNull(), "add").when(F.col("_a") != F.col("_b"), "move").otherwise("keep")
+    return a.join(b, key, "full_outer").select(key, action.alias("action"), F.col("_b").alias(pos))
+
+
 def matching_commands(commands: DataFrame, name: str, typed: str) -> DataFrame:
     return commands.filter(F.startswith(F.col(name), F.lit(typed)) & F.lit(typed != ""))
 
@@ -96,8 +106,9 @@ def by_type(kind: Column, choices: dict[str, Column]) -> Column:
     return out
 
 
-def only_changed(updates: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """Updates that change what was there: a guard against writing equal values again."""
-    before = F.lag(value).over(W.partitionBy(key).orderBy(order))
-    first = F.row_number().over(W.partitionBy(key).orderBy(order)) == 1
-    return updates.withColumn("_b", before).withColumn("_f", first).filter(F.col("_f") | ~F.col("_b").eqNullSafe(F.col(value))).drop("_b", "_f")
+def only_changed(updates: DataFrame, key: str, order: str, value: str, width: int | None = None) -> DataFrame:
+    """Updates that change what was there: a guard against writing equal values again; the first update of a key is one.
+    `width` as in snapshots.with_previous."""
+    held = updates.withColumn("_held", F.struct(F.col(value).alias("v")))
+    before = with_previous(held, key, order, "_held", width, "_b")
+    return before.filter(F.col("_b").isNull() | ~F.col("_b.v").eqNullSafe(F.col(value))).drop("_held", "_b")

@@ -6,6 +6,8 @@ check are dropped (`failures` lists them with the reason); ties in order take th
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gleanery.session import materialize
@@ -22,13 +24,14 @@ def names_of(addresses: DataFrame, functions: DataFrame, symbols: DataFrame, add
     return joined.select(*addresses.columns, F.coalesce("_fn", "_sn", shown).alias("name"))
 
 
-def callers(roots: DataFrame, edges: DataFrame, root: str = "root", depth: int = 16) -> DataFrame:
+def callers(roots: DataFrame, edges: DataFrame, root: str = "root", depth: int | None = None) -> DataFrame:
     """root, node, depth of everything that leads to a root by edges (src, dst), each node at its least depth. Every round
-    is one join of the newest nodes with the edges, minus what was seen; it ends when nothing new comes."""
+    is one join of the newest nodes with the edges, minus what was seen; it ends when nothing new comes, or at `depth` if one is
+    asked for."""
     e = edges.select("src", "dst").distinct()
     newest = materialize(roots.select(F.col(root).alias("root"), F.col(root).alias("node"), F.lit(0).alias("depth")).distinct(), "roots")
     seen = newest
-    for d in range(1, depth + 1):
+    for d in itertools.count(1) if depth is None else range(1, depth + 1):
         step = newest.join(e, F.col("node") == F.col("dst")).select("root", F.col("src").alias("node")).distinct()
         newest = materialize(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(d)), f"callers-{d}")
         if newest.isEmpty():

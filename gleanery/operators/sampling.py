@@ -31,6 +31,12 @@ def one_per_bucket(events: DataFrame, at: str, key: str, seconds: float, group:
     return best.select("bucket", "_r.*")
 
 
+def collected(frames: DataFrame, file: str, order: str, frame: str) -> DataFrame:
+    """file, frames: the sampled frames of a file in order. A file has as many as the sampling window holds."""
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(frame).alias("f"))))
+    return frames.filter(F.col(frame).isNotNull()).groupBy(file).agg(F.transform(listed, lambda x: x["f"]).alias("frames"))
+
+
 def rounded_interval(seconds: float, digits: int = 2) -> float:
     """The interval that a rate rounded to two digits really has: 1 per 30 s becomes 0.03, one per 33.3 s."""
     rate = round(1 / seconds, digits)

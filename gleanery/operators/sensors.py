@@ -35,12 +35,22 @@ def fill_template(template: Column, variables: Column) -> Column:
     return F.reduce(F.map_entries(variables), template, lambda t, e: F.replace(t, F.concat(F.lit("{"), e["key"], F.lit("}")), F.coalesce(e["value"], F.lit(""))))
 
 
+def found_sensors(devices: DataFrame, cpus: DataFrame, name: str, temperature: str) -> DataFrame:
+    """kind, name, temperature of the disks among the devices and of the CPU sensors, those that show one (neither null nor
+    0)."""
+    disks = devices.filter(is_disk(F.col(name))).select(F.lit("hard_disk").alias("kind"), F.col(name).alias("name"), F.col(temperature).cast("double").alias("temperature"))
+    cores = cpus.select(F.lit("cpu").alias("kind"), F.col(name).alias("name"), F.col(temperature).cast("double").alias("temperature"))
+    return disks.unionByName(cores).filter(F.coalesce("temperature", F.lit(0.0)) != 0)
+
+
+def link_card(name: Column, url: Column) -> Column:
+    return F.format_string('<div class="card"><header>%s</header><footer><a href="%s">URL</a></footer></div>', name, url)
+
+
 def cards(sensors: DataFrame, group: str, kind: str, name: str, value: str, order: str) -> DataFrame:
-    """group, html: one card per group of sensors; kinds other than cpu and hard_disk give an empty entry."""
-    entry = (
-        F.when(F.col(kind) == "cpu", F.format_string("<li>CPU %s: %s</li>", F.col(name), F.col(value).cast("string")))
-        .when(F.col(kind) == "hard_disk", F.format_string("<li>Disk %s: %s</li>", F.col(name), F.col(value).cast("string")))
-        .otherwise("")
-    )
+    """group, html: one card per group of sensors in their order; kinds other than cpu and hard_disk leave it empty. A group
+    is what one page shows."""
+    said = lambda label: F.format_string(f"<p>{label} %s temperature: %s°C</p>", F.col(name), F.col(value).cast("string"))
+    entry = F.when(F.col(kind) == "cpu", said("CPU")).when(F.col(kind) == "hard_disk", said("Disk")).otherwise("")
     listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("e"))))
-    return sensors.groupBy(group).agg(F.concat(F.lit("<ul>"), F.array_join(F.transform(listed, lambda x: x["e"]), ""), F.lit("</ul>")).alias("html"))
+    return sensors.groupBy(group).agg(F.concat(F.lit('<div class="card">'), F.array_join(F.transform(listed, lambda x: x["e"]), ""), F.lit("</div>")).alias("html"))

@@ -13,7 +13,7 @@ from gleanery.operators.joins import in_ranges
 # Fixed value: the shape of a memory map's line.
 MAP_LINE = r"([\da-f]+)-([\da-f]+) ([\w\-]+) {offset} {device} \d+ [\w\W]+"
 # The argument registers of an architecture's calling convention.
-ARGUMENTS = {"i386:x86-64": ["rdi", "rsi", "rdx", "rcx", "r8", "r9"], "aarch64": ["x0", "x1", "x2", "x3", "x4", "x5", "x6", "x7"]}
+ARGUMENTS = {"i386:x86-64": ["rdi", "rsi", "rdx", "r10", "r8", "r9"], "i386": []}
 
 
 def parse_maps(lines: DataFrame, line: str = "line", compat: bool = False) -> DataFrame:
@@ -29,10 +29,23 @@ def known_addresses(points: DataFrame, ranges: DataFrame, value: str, width: flo
     return in_ranges(points, ranges, value, "start", "end", width)
 
 
-def changes(snapshots: DataFrame, item: str, order: str, value: str) -> DataFrame:
+def with_previous(rows: DataFrame, group: str, order: str, value: str, width: int | None = None, into: str = "previous") -> DataFrame:
+    """rows with the value of the row before in their group. With a `width`, groups are cut into cells of the ordering value
+    and a cell's first row takes the last value of the cells before it (one row per cell), so that no task holds a group."""
+    if width is None:
+        return rows.withColumn(into, F.lag(value).over(W.partitionBy(group).orderBy(order)))
+    t = rows.withColumn("_cell", F.floor(F.col(order) / width).cast("long"))
+    ends = t.groupBy(group, "_cell").agg(F.max_by(F.struct(value), order).alias("_end"))
+    ends = ends.select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), F.lag("_end").over(W.partitionBy(group).orderBy("_cell")).alias("_end"))
+    inside = W.partitionBy(group, "_cell").orderBy(order)
+    t = t.withColumns({"_lag": F.lag(F.struct(value)).over(inside)}).join(ends, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c")), "left")
+    return t.select(*rows.columns, F.coalesce("_lag", "_end")[value].alias(into))
+
+
+def changes(snapshots: DataFrame, item: str, order: str, value: str, width: int | None = None) -> DataFrame:
     """snapshots with `previous` and `changed`."""
-    previous = F.lag(value).over(W.partitionBy(item).orderBy(order))
-    return snapshots.withColumn("previous", previous).withColumn("changed", F.coalesce(F.col("previous") != F.col(value), F.lit(False)))
+    found = with_previous(snapshots, item, order, value, width)
+    return found.withColumn("changed", F.coalesce(F.col("previous") != F.col(value), F.lit(False)))
 
 
 def changed_items(snapshots: DataFrame, item: str, order: str, value: str, skip: tuple[str, ...] = ("ip", "flag")) -> DataFrame:
@@ -43,15 +56,24 @@ def changed_items(snapshots: DataFrame, item: str, order: str, value: str, skip:
     return found
 
 
-def gaps(rows: DataFrame, group: str, order: str, begin: str, end: str) -> DataFrame:
-    """rows with `gap`: from a row's end to the begin of the next one of its group; null for the last."""
-    return rows.withColumn("gap", F.lead(begin).over(W.partitionBy(group).orderBy(order)) - F.col(end))
+def gaps(rows: DataFrame, group: str, order: str, begin: str, end: str, width: int | None = None) -> DataFrame:
+    """rows with `gap`: from a row's end to the begin of the next one of its group; null for the last. The next row is the one
+    before in falling order."""
+    falling = rows.withColumn("_falling", -F.col(order))
+    return with_previous(falling, group, "_falling", begin, width, "_next").select(*rows.columns, (F.col("_next") - F.col(end)).alias("gap"))
 
 
-def block_numbers(rows: DataFrame, group: str, order: str, mark: Column) -> DataFrame:
-    """rows with `block`: how many marked rows stand before it in its group."""
-    marks = F.sum(mark.cast("int")).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("block", F.coalesce(marks, F.lit(0)))
+def block_numbers(rows: DataFrame, group: str, order: str, mark: Column, width: int | None = None) -> DataFrame:
+    """rows with `block`: how many marked rows stand before it in its group; `width` as in with_previous."""
+    cell = F.lit(0) if width is None else F.floor(F.col(order) / width)
+    t = rows.withColumns({"_cell": cell.cast("long"), "_m": F.coalesce(mark.cast("int"), F.lit(0))})
+    before = F.sum("_m").over(W.partitionBy(group, "_cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    if width is None:
+        return t.select(*rows.columns, F.coalesce(before, F.lit(0)).alias("block"))
+    sums = t.groupBy(group, "_cell").agg(F.sum("_m").alias("_s"))
+    base = sums.select(F.col(group).alias("_g"), F.col("_cell").alias("_c"), F.sum("_s").over(W.partitionBy(group).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)).alias("_base"))
+    t = t.withColumn("_before", before).join(base, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c")), "left")
+    return t.select(*rows.columns, (F.coalesce("_before", F.lit(0)) + F.coalesce("_base", F.lit(0))).alias("block"))
 
 
 def chase(roots: DataFrame, memory: DataFrame, key: str, address: str, at: str, target: str, depth: int = 3) -> DataFrame:
@@ -66,6 +88,31 @@ def chase(roots: DataFrame, memory: DataFrame, key: str, address: str, at: str,
     return out
 
 
+def any_known(ranges: DataFrame) -> DataFrame:
+    """known: whether there are ranges at all."""
+    return ranges.agg((F.count("*") > 0).alias("known"))
+
+
+def readable(chased: DataFrame, memory: DataFrame, key: str, at: str, content: str, depth: int = 3) -> DataFrame:
+    """chased with `kind` and `data`: what an address holds. `addr` if a further step follows, else `string` if its eight
+    bytes are ASCII, else `data`; bytes are given where the chain ends at a readable address."""
+    m = memory.select(F.col(at).alias("_at"), F.col(content).alias("_c")).dropDuplicates(["_at"])
+    ends = chased.groupBy(key).agg(F.max("depth").alias("_last"))
+    inner = F.col("depth") < F.col("_last")
+    held = F.when(~inner & (F.col("depth") < depth), F.col("_c"))
+    ascii_only = F.coalesce(~F.hex(held).rlike("^(?:..)*?[89A-F]"), F.lit(False))
+    return (
+        chased.join(ends, key).join(m, F.col("address") == F.col("_at"), "left")
+        .select(*chased.columns, F.when(inner, "addr").when(ascii_only, "string").otherwise("data").alias("kind"), held.alias("data"))
+    )
+
+
+def changed_references(snapshots: DataFrame, memory: DataFrame, item: str, order: str, value: str, at: str, target: str, depth: int = 3) -> DataFrame:
+    """item, order, depth, address: where the values lead that changed since the snapshot before."""
+    found = changed_items(snapshots, item, order, value).select(F.struct(item, order).alias("_key"), F.col(value).alias("_value"))
+    return chase(found, memory, "_key", "_value", at, target, depth).select(f"_key.{item}", f"_key.{order}", "depth", "address")
+
+
 def chain_text(chased: DataFrame, key: str) -> DataFrame:
     """key, chain: `a => b => c`."""
     listed = F.array_sort(F.collect_list(F.struct("depth", "address")))  # as many as the chase's depth allows

@@ -16,8 +16,8 @@ def _first(items: str, test: str) -> str:
     return f"nullif(coalesce(list_position(list_transform({items}, lambda x: {test}), true), 0), 0)"
 
 
-P2 = f"""
-WITH z AS (SELECT line_id, coalesce(layout, '') = 'csv' AS csv, line, line IS NULL OR regexp_full_match(line, '\\s*') AS empty FROM zspd),
+P2_READ = f"""
+z AS (SELECT line_id, coalesce(layout, '') = 'csv' AS csv, line, line IS NULL OR regexp_full_match(line, '\\s*') AS empty FROM zspd),
 k AS (SELECT *, empty OR (csv AND NOT {_full("line", _CSV)}) AS bad FROM z),
 c AS (SELECT line_id, regexp_extract(line, '^{_CSV}$', 3) AS w, regexp_extract(line, '^{_CSV}$', 4) AS v, regexp_extract(line, '^{_CSV}$', 5) AS s FROM k WHERE csv AND NOT bad),
 u AS (SELECT line_id, trim(w, '"') AS w, trim(v, '"') AS v, trim(s, '"') AS s FROM c),
@@ -29,12 +29,23 @@ e AS (SELECT line_id, b[:coalesce({_first("b", _full("x", _LATER))} - 1, len(b))
 p AS (SELECT line_id, b, {_first("b", _full("x", "[0-9]{4}|CAVOK"))} AS sight, {_first("b", f"{_full('x', _CLOUD)} OR {_full('x', _RUNWAY)} OR {_full('x', _WEATHER)}")} AS other FROM e),
 pg AS (SELECT line_id, b[:coalesce(sight, other, len(b) + 1) - 1] AS wind,
               list_filter(b[coalesce(sight + 1, other, len(b) + 1):], lambda x: NOT ({_full("x", _RUNWAY)} OR {_full("x", _WEATHER)} OR x = 'CAVOK')) AS sky, list_contains(b, 'CAVOK') AS cavok FROM p),
-a AS (SELECT line_id, list_filter(wind, lambda x: NOT {_full("x", "[0-9]{3}V[0-9]{3}")}) AS wind, sky, cavok FROM (FROM cg UNION ALL FROM pg))
+a AS (SELECT line_id, list_filter(wind, lambda x: NOT {_full("x", "[0-9]{3}V[0-9]{3}")}) AS wind, sky, cavok FROM (FROM cg UNION ALL FROM pg))"""
+P2 = f"""
+WITH {P2_READ}
 SELECT line_id, 'line' AS expr FROM k WHERE bad
 UNION ALL SELECT line_id, 'WindExpr' FROM a WHERE len(wind) <> 1 OR NOT {_full("wind[1]", "([0-9]{3}|VRB)[0-9]{2}(G[0-9]{2})?(MPS|KT|KMH)")} OR coalesce(try_cast(wind[1][:3] AS INT) > 360, false)
 UNION ALL SELECT line_id, 'CloudExpr' FROM a WHERE (len(sky) = 0 AND NOT cavok) OR len(list_filter(sky, lambda x: NOT {_full("x", _CLOUD)})) > 0
 """
 
+P2_LOADED = f"""
+WITH {P2_READ}
+SELECT line_id, regexp_extract(wind[1], '^(...)(..)', 1) AS direction, regexp_extract(wind[1], '^(...)(..)', 2) AS speed, regexp_extract(wind[1], '(MPS|KT|KMH)$') AS unit,
+       nullif(regexp_extract(wind[1], 'G([0-9]{{2}})', 1), '') AS g,
+       array_to_string(list_transform(sky, lambda x: regexp_extract(x, '^{_CLOUD}$', 1) || '/' || regexp_extract(x, '^{_CLOUD}$', 2) || '/' || regexp_extract(x, '^{_CLOUD}$', 3)), ' ') AS clouds
+FROM a WHERE len(wind) = 1 AND {_full("wind[1]", "([0-9]{3}|VRB)[0-9]{2}(G[0-9]{2})?(MPS|KT|KMH)")} AND coalesce(try_cast(wind[1][:3] AS INT) <= 360, true)
+  AND (len(sky) > 0 OR cavok) AND len(list_filter(sky, lambda x: NOT {_full("x", _CLOUD)})) = 0
+"""
+
 
 def _wind(x: str) -> str:
     return f"""CASE WHEN regexp_matches(lower({x}), '\\bkts?\\b|\\bkn\\b|knot|节|海里') THEN 1852 / 3600.0 WHEN regexp_matches(lower({x}), 'km/?h|kph|kilomet|公里') THEN 1 / 3.6
@@ -65,6 +76,12 @@ n AS (SELECT report_id, arg_min(k, abs(press * k - level)) AS k FROM q JOIN l ON
 SELECT report_id, 'wind' AS quantity FROM q WHERE wind IS NOT NULL AND abs(wind_scale - 1) > 1e-9
 UNION ALL SELECT report_id, 'pressure' FROM n WHERE abs(k - 1) > 1e-9
 """
+P4_CANONICAL = f"""
+WITH {READ},
+n AS (SELECT q.report_id, q.station, wind, wind_scale, press, press_scale, arg_min(k, abs(press * k - level)) AS k, min(abs(press * k - level)) <= 0.12 * max(level) AS near FROM q JOIN l ON q.station IS NOT DISTINCT FROM l.station,
+      (SELECT unnest([1.0, 0.1, 10.0, 1.33322387415, 0.133322387415, 33.86388640341, 0.3386388640341]) AS k) GROUP BY ALL)
+SELECT report_id, station, round(wind * wind_scale, 6) AS wind_mps, round(CASE WHEN near THEN k ELSE press_scale END * press, 4) AS pressure_hpa FROM n
+"""
 TIMES = """
 d AS (SELECT *, date_trunc('month', received_at) AS m, date_expr.day AS dd, date_expr.time AS tt FROM q
       WHERE regexp_full_match(date_expr.day, '0[1-9]|[12][0-9]|3[01]') AND regexp_full_match(date_expr.time, '([01][0-9]|2[0-3])[0-5][0-9]') AND station IS NOT NULL),
@@ -76,7 +93,7 @@ r AS (SELECT q.report_id, station, epoch(seen)::BIGINT AS t,
         CASE WHEN regexp_full_match(temperature_expr.temperature, 'M?[0-9]+') THEN replace(temperature_expr.temperature, 'M', '-')::DOUBLE END AS temperature,
         CASE WHEN regexp_full_match(temperature_expr.dew, 'M?[0-9]+') THEN replace(temperature_expr.dew, 'M', '-')::DOUBLE END AS dew, round(wind * wind_scale, 6) AS speed
       FROM q JOIN o USING (report_id))"""
-P5 = f"""
+P5_CASES = f"""
 WITH {READ}, {TIMES},
 v AS (SELECT station, t, 'temperature' AS field, arg_min(temperature, report_id) AS value FROM r WHERE temperature IS NOT NULL GROUP BY 1, 2
       UNION ALL SELECT station, t, 'dew', arg_min(dew, report_id) FROM r WHERE dew IS NOT NULL GROUP BY 1, 2
@@ -90,11 +107,17 @@ j AS (SELECT s.*, abs(value - a1) >= least AS pa1, abs(value - a2) >= least AS p
         abs(a1 - a2) >= least AND abs(a1 - a3) >= least AND abs(a1 - b1) >= least AND abs(a1 - b2) >= least AS prev_ok FROM s JOIN u USING (station, field)),
 g AS (SELECT *, sum(CASE WHEN step < 1e-6 AND pause < 2592000 THEN 0 ELSE 1 END) OVER (PARTITION BY station, field ORDER BY t) AS run FROM s),
 h AS (SELECT *, count(*) OVER p AS size, max(t) OVER p - min(t) OVER p AS long FROM g WINDOW p AS (PARTITION BY station, field, run)),
-c AS (SELECT station, t, field FROM j WHERE (pa1 AND pa2 AND pb1 AND pb2) OR (pa1 AND pa2 AND pb2 AND pb3 AND next_ok) OR (pa2 AND pa3 AND pb1 AND pb2 AND prev_ok)
-      UNION SELECT station, t, field FROM h WHERE size >= 6 AND long >= 43200
-      UNION SELECT station, t, field FROM v WHERE CASE field WHEN 'speed' THEN value > 75 ELSE abs(value) > 60 END),
-k AS (FROM c UNION SELECT x.station, x.t, 'dew' FROM (FROM v WHERE field = 'dew') x JOIN (FROM v WHERE field = 'temperature') y USING (station, t) ANTI JOIN (FROM c WHERE field = 'temperature') z USING (station, t) WHERE x.value > y.value)
-SELECT r.report_id, k.field FROM r JOIN k USING (station, t) WHERE CASE k.field WHEN 'temperature' THEN temperature WHEN 'dew' THEN dew ELSE speed END IS NOT NULL
+c AS (SELECT station, t, field, 'spike' AS kind FROM j WHERE (pa1 AND pa2 AND pb1 AND pb2) OR (pa1 AND pa2 AND pb2 AND pb3 AND next_ok) OR (pa2 AND pa3 AND pb1 AND pb2 AND prev_ok)
+      UNION SELECT station, t, field, 'stuck' FROM h WHERE size >= 6 AND long >= 43200
+      UNION SELECT station, t, field, 'impossible' FROM v WHERE CASE field WHEN 'speed' THEN value > 75 ELSE abs(value) > 60 END),
+k AS (FROM c UNION SELECT x.station, x.t, 'dew', 'impossible' FROM (FROM v WHERE field = 'dew') x JOIN (FROM v WHERE field = 'temperature') y USING (station, t) ANTI JOIN (FROM c WHERE field = 'temperature') z USING (station, t) WHERE x.value > y.value)
+SELECT r.report_id, k.field, k.kind FROM r JOIN k USING (station, t) WHERE CASE k.field WHEN 'temperature' THEN temperature WHEN 'dew' THEN dew ELSE speed END IS NOT NULL
+"""
+P5 = f"SELECT DISTINCT report_id, field FROM ({P5_CASES})"
+P6_OBSERVED = f"""
+WITH {READ}, {TIMES}
+SELECT station, strftime(make_timestamp(((t // 86400) * 86400 + (t % 86400) // 60 // s.report_every * s.report_every * 60)::BIGINT * 1000000), '%Y-%m-%d %H:%M') AS slot, round(avg(temperature), 6) AS value
+FROM r JOIN station s ON s.icao = r.station WHERE temperature IS NOT NULL AND s.report_every >= 1 GROUP BY 1, 2
 """
 P6 = f"""
 WITH {READ}, {TIMES},

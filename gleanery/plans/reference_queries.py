@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from gleanery.operators import arithmetic, byte_views, control_flow, feeds, joins, layouts, ordered_lists, references, relocations, sampling, sensors, snapshots, weather_tokens
 from gleanery.session import discard, scratch_path, table
@@ -14,6 +14,7 @@ NOW = "2024-06-01"
 SHORTCUTS = [("quay", "https://quay.example/feeds/"), ("moss", "https://moss.example/rss/")]
 TEMPLATE = "http://{icao}.example/{network}?every={every}&x={none}"
 EXPRESSION = "(a+b)*3-c/2"
+CELL = 1 << 16  # events per cell of a user's series
 KEY = [7 * i + 3 for i in range(16)]
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -31,13 +32,13 @@ def query(sql: str | None = None):
 
 @query("""
     WITH n AS (SELECT d.id, d.torrent_url FROM download_record d LEFT JOIN subscribes s ON s.feed_name = d.feed
-               WHERE d.batch_no > 0 AND d.torrent_url IS NOT NULL AND d.torrent_name IS NOT NULL
+               WHERE d.batch_no > 0 AND d.torrent_url IS NOT NULL
                  AND NOT coalesce(regexp_matches(d.torrent_name, nullif(s.exclude_rule, '')), false))
     SELECT min(id) AS id, torrent_url FROM n
     WHERE torrent_url NOT IN (SELECT torrent_url FROM download_record WHERE batch_no = 0 AND torrent_url IS NOT NULL) GROUP BY torrent_url""")
 def feed_select(spark: SparkSession, sf: str) -> DataFrame:
     d, s = table(spark, sf, "download_record"), table(spark, sf, "subscribes")
-    new = d.filter("batch_no > 0 and torrent_name is not null").join(s.select(F.col("feed_name").alias("feed"), "exclude_rule"), "feed", "left")
+    new = d.filter("batch_no > 0").join(s.select(F.col("feed_name").alias("feed"), "exclude_rule"), "feed", "left")
     chosen = feeds.select_entries(new, "torrent_name", "exclude_rule").select("id", "torrent_url")
     return feeds.new_downloads(chosen, d.filter("batch_no = 0"), "torrent_url", "id")
 
@@ -65,11 +66,11 @@ def link_explode(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT feed_name, '{"jsonrpc":"2.0","id":"' || feed_name || '","method":"aria2.addTorrent","params":["token:t","' || base64(encode(url)) || '",[],{"dir":"/d","out":"' || feed_name || '"}]}' AS payload
+    SELECT feed_name, '{"jsonrpc":"2.0","id":1,"method":"aria2.addTorrent","params":["token:t","' || base64(encode(url)) || '",[],{"dir":"/d/' || feed_name || '"}]}' AS payload
     FROM subscribes""")
 def delivery_payload(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "subscribes").select(
-        "feed_name", feeds.payload(F.col("feed_name"), F.encode("url", "UTF-8"), F.lit("/d"), F.lit("t"), F.col("feed_name")).alias("payload")
+        "feed_name", feeds.payload(F.col("feed_name"), F.encode("url", "UTF-8"), F.lit("/d"), F.lit("t")).alias("payload")
     )
 
 
@@ -99,12 +100,13 @@ def windowed_poll(spark: SparkSession, sf: str) -> DataFrame:
     events = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     counts = polling.windowed_counts(events, "ts", "event_type")
 
-    def keep(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.select("window.start", "event_type", "n", F.lit(number).alias("batch")).write.mode("append").parquet(out)
 
-    counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    # Only counts that changed are handed on, and the state of windows past the watermark is dropped.
+    counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
     discard(spark, check)
-    return spark.read.parquet(out).select(F.to_date("window.start").alias("day"), "event_type", "n")
+    return spark.read.parquet(out).groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).select(F.to_date("start").alias("day"), "event_type", "n")
 
 
 @query("""
@@ -156,20 +158,20 @@ def point_in_range(spark: SparkSession, sf: str) -> DataFrame:
     SELECT event_id, user_id, previous, value FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events)
     WHERE previous <> value""")
 def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.changes(table(spark, sf, "events"), "user_id", "event_id", "value").filter("changed").select("event_id", "user_id", "previous", "value")
+    return snapshots.changes(table(spark, sf, "events"), "user_id", "event_id", "value", CELL).filter("changed").select("event_id", "user_id", "previous", "value")
 
 
 @query("""
     SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) - event_id AS gap FROM events""")
 def gap_next(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.gaps(table(spark, sf, "events"), "user_id", "event_id", "event_id", "event_id").select("event_id", "gap")
+    return snapshots.gaps(table(spark, sf, "events"), "user_id", "event_id", "event_id", "event_id", CELL).select("event_id", "gap")
 
 
 @query("""
     SELECT event_id, CAST(coalesce(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS block
     FROM events""")
 def block_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return snapshots.block_numbers(table(spark, sf, "events"), "user_id", "event_id", F.col("event_type") == "error").select("event_id", "block")
+    return snapshots.block_numbers(table(spark, sf, "events"), "user_id", "event_id", F.col("event_type") == "error", CELL).select("event_id", "block")
 
 
 @query("""
@@ -226,11 +228,13 @@ def move_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT feed, 'remove' AS action FROM (SELECT DISTINCT feed FROM download_record WHERE feed IS NOT NULL AND feed NOT IN (SELECT feed_name FROM subscribes))
-    UNION ALL SELECT feed_name, 'add' FROM subscribes WHERE feed_name NOT IN (SELECT feed FROM download_record WHERE feed IS NOT NULL)""")
+    WITH a AS (SELECT feed_name, row_number() OVER (ORDER BY feed_name DESC) AS was FROM subscribes WHERE length(url) % 3 > 0), b AS (SELECT feed_name, row_number() OVER (ORDER BY feed_name) AS pos FROM subscribes WHERE length(feed_name) % 2 = 0)
+    SELECT feed_name, CASE WHEN pos IS NULL THEN 'remove' WHEN was IS NULL THEN 'add' WHEN was <> pos THEN 'move' ELSE 'keep' END AS action, pos::INT AS pos FROM a FULL JOIN b USING (feed_name)""")
 def sync_sets(spark: SparkSession, sf: str) -> DataFrame:
-    shown = table(spark, sf, "download_record").select("feed").filter("feed is not null")
-    return ordered_lists.reconcile(shown, table(spark, sf, "subscribes").select(F.col("feed_name").alias("feed")), "feed")
+    s = table(spark, sf, "subscribes").select("feed_name", "url")
+    shown = s.filter("length(url) % 3 > 0").withColumn("pos", F.row_number().over(W.orderBy(F.desc("feed_name"))))  # a fixed table
+    wanted = s.filter("length(feed_name) % 2 = 0").withColumn("pos", F.row_number().over(W.orderBy("feed_name")))
+    return ordered_lists.synchronised(shown, wanted, "feed_name", "pos")
 
 
 @query("SELECT p_partkey, ((p_size - 3) % 10 + 10) % 10 AS selected FROM part")
@@ -327,23 +331,12 @@ def find_offset(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", byte_views.find_offset(F.encode("text", "UTF-8"), F.encode(F.lit("nvme"), "UTF-8")).cast("long").alias("at"))
 
 
-def _xor_twice(rows: DataFrame, key: str, text: str) -> DataFrame:
-    s = rows.select(key, F.encode(F.coalesce(text, F.lit("")), "UTF-8").alias("c"))
-    once = byte_views.xor_stream(F.col("c"), KEY)
-    k = F.array(*map(F.lit, KEY))
-    twice = F.transform(once, lambda b, i: b.bitwiseXOR(F.get(k, (i + F.shiftright(i, 4)).bitwiseAND(15))))
-    return s.select(key, (twice == byte_views.byte_numbers(F.col("c"))).alias("same"))
-
-
-@query("SELECT icao, true AS same FROM station")
-def xor_twice(spark: SparkSession, sf: str) -> DataFrame:
-    return _xor_twice(table(spark, sf, "station"), "icao", "note")
-
-
-@query("SELECT doc_id, true AS same FROM documents")
-def xor_twice_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The same over the whole texts of documents."""
-    return _xor_twice(table(spark, sf, "documents"), "doc_id", "text")
+@query(f"""
+    WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+    SELECT doc_id, array_to_string(list_transform(range(0, length(h)::BIGINT // 2), lambda i: printf('%02X', xor(('0x' || substr(h, i * 2 + 1, 2))::INT, {KEY}[((i + (i >> 4)) & 15) + 1]))), '') AS hex FROM h""")
+def xor_texts(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("c"))
+    return d.select("doc_id", F.array_join(F.transform(byte_views.xor_stream(F.col("c"), KEY), lambda b: F.lpad(F.hex(b), 2, "0")), "").alias("hex"))
 
 
 @query("""
@@ -354,7 +347,7 @@ def template_fold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-    SELECT user_id, '<ul>' || string_agg(CASE event_type WHEN 'click' THEN '<li>CPU ' || event_id || ': ' || event_id % 7 || '</li>' WHEN 'error' THEN '<li>Disk ' || event_id || ': ' || event_id % 7 || '</li>' ELSE '' END, '' ORDER BY event_id) || '</ul>' AS html
+    SELECT user_id, '<div class="card">' || string_agg(CASE event_type WHEN 'click' THEN '<p>CPU ' || event_id || ' temperature: ' || event_id % 7 || '°C</p>' WHEN 'error' THEN '<p>Disk ' || event_id || ' temperature: ' || event_id % 7 || '°C</p>' ELSE '' END, '' ORDER BY event_id) || '</div>' AS html
     FROM events GROUP BY 1""")
 def sensor_cards(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "click", "cpu").when(F.col("event_type") == "error", "hard_disk").otherwise("other")
@@ -383,7 +376,32 @@ def weather_line_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return weather_tokens.weather_tokens(table(spark, sf, "zspd"))
 
 
-@query()
+# The alternatives of a report in their order, as plain expressions: the first that fits the begin of the rest is taken, and
+# then a separator must follow.
+ALTERNATIVES = [
+    ("report", "METAR(/SPECI)*"), ("cavok", "CAVOK"), ("trend", "(NOSIG|BECMG|TEMPO|PROB[0-9][0-9]|(FM|TL|AT)[0-9]{4})"), ("icao", "[A-Z]{4}"), ("time", "[0-9]{6}Z"),
+    ("wind", "([0-9]{3}|VRB)[0-9]{2}(G[0-9]{2})*(MPS|KT|KMH)"), ("vary", "[0-9]{3}V[0-9]{3}"), ("shear", "WS (LDG|TKOF) RWY[0-9]{2}L*"), ("visibility", "[0-9]{4}"), ("runway", "R[0-9]{2}[LR]*/[0-9]{4}[UDN]*"),
+    ("cloud", "(SKC|FEW|SCT|BKN|OVC|NSC|NCD|CLR)([0-9]{3})*(CB)*"), ("temperature", "M*[0-9]{2}/M*[0-9]{2}"), ("pressure", "[QA][0-9]{4}"),
+    ("weather", "([-+]|RE|VC)*(MI|BC|PR|TS|BL|SH|DR|FZ)*(DZ|RA|SN|SG|IC|PL|GR|GS|UP|BR|FG|FU|VA|DU|SA|HZ|PO|SQ|FC|SS|DS|TS)+"),
+]
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(rest, '^{x}') THEN '{k}'" for k, x in ALTERNATIVES) + " END"
+_RAW = "CASE " + " ".join(f"WHEN regexp_matches(rest, '^{x}') THEN regexp_extract(rest, '^{x}')" for _, x in ALTERNATIVES) + " END"
+STEPS = f"""
+    s(line_id, pos, kind, raw, rest) AS (
+        SELECT line_id, -1, NULL::VARCHAR, NULL::VARCHAR, line FROM zspd WHERE line IS NOT NULL
+        UNION ALL SELECT line_id, pos + 1, {_KIND}, {_RAW}, substr(rest, length({_RAW}) + 2) FROM s WHERE substr(rest, length({_RAW}) + 1, 1) IN (' ', '='))"""
+
+
+@query(f"WITH RECURSIVE {STEPS} SELECT line_id, pos, kind, raw FROM s WHERE pos >= 0")
+def weather_line_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    t = weather_tokens.weather_tokens(table(spark, sf, "zspd"))
+    # The typed table names a token by its whole shape; the first alternative that fits its begin is the same one.
+    return t.select("line_id", "pos", "kind", "raw")
+
+
+@query(f"""
+    WITH RECURSIVE {STEPS}, u AS (SELECT line_id, coalesce(sum(length(raw) + 1) FILTER (pos >= 0), 0)::INT AS used FROM s GROUP BY 1)
+    SELECT z.line_id, used, used = length(line) AS complete FROM zspd z LEFT JOIN u USING (line_id)""")
 def weather_line_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return weather_tokens.consumed(table(spark, sf, "zspd"))
 
@@ -406,43 +424,64 @@ def skip_existing(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.skip_existing(sampling.batch_list(d, "torrent_name").distinct(), d.select(F.col("torrent_name").alias("name")), ".torrent")
 
 
-LISTING = """  3           0 RESUME                   0
-  4           2 LOAD_CONST               1 ({limit})
-              4 STORE_FAST               0 (left)
-  5     >>    6 LOAD_FAST                0 (left)
-              8 POP_JUMP_FORWARD_IF_FALSE    9 (to 28)
-  6          10 LOAD_GLOBAL              0 (tick)
-             12 LOAD_FAST                0 (left)
-             14 CALL                     1
-             16 POP_TOP
-             18 LOAD_FAST                0 (left)
-             20 LOAD_CONST               2 (1)
-             22 BINARY_OP               10 (-)
-             24 STORE_FAST               0 (left)
-             26 JUMP_BACKWARD           11 (to 6)
-  7     >>   28 LOAD_CONST               0 (None)
-             30 RETURN_VALUE"""
+# A program per customer: each order, by its key, is one of five shapes of five instructions (distance from its begin, name,
+# argument, distance of the jump's target), a return follows the last.
+SHAPES = [
+    [(0, "LOAD_FAST", "left", None), (2, "LOAD_CONST", "1", None), (4, "BINARY_OP", "-", None), (6, "STORE_FAST", "left", None), (8, "NOP", None, None)],
+    [(0, "LOAD_FAST", "flag", None), (2, "POP_JUMP_FORWARD_IF_FALSE", None, 10), (4, "LOAD_CONST", "2", None), (6, "STORE_FAST", "x", None), (8, "NOP", None, None)],
+    [(0, "LOAD_FAST", "left", None), (2, "LOAD_CONST", "9", None), (4, "COMPARE_OP", "<", None), (6, "POP_JUMP_BACKWARD_IF_TRUE", None, -10), (8, "NOP", None, None)],
+    [(0, "LOAD_FAST", "items", None), (2, "FOR_ITER", None, 10), (4, "STORE_FAST", "item", None), (6, "JUMP_BACKWARD", None, 2), (8, "NOP", None, None)],
+    [(0, "LOAD_FAST", "flag", None), (2, "POP_JUMP_FORWARD_IF_TRUE", None, 8), (4, "LOAD_GLOBAL", "tick", None), (6, "JUMP_FORWARD", None, 10), (8, "LOAD_CONST", "3", None)],
+]
+_VALUES = ", ".join(f"({k}, {at}, '{op}', {'NULL' if arg is None else repr(arg)}, {'NULL' if to is None else to})" for k, shape in enumerate(SHAPES) for at, op, arg, to in shape)
+INSTRUCTIONS = f"""
+p AS (SELECT o_custkey AS prog, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 10 AS base, o_orderkey % 5 AS k FROM orders),
+i AS (SELECT prog, base + s.away AS n, op, CASE WHEN dist IS NULL THEN coalesce(arg, '') ELSE 'to ' || greatest(base + dist, 0) END AS args, greatest(base + dist, 0) AS dest
+      FROM p JOIN (VALUES {_VALUES}) s(k, away, op, arg, dist) USING (k)
+      UNION ALL SELECT prog, max(base) + 10, 'LOAD_CONST', 'None', NULL FROM p GROUP BY 1 UNION ALL SELECT prog, max(base) + 12, 'RETURN_VALUE', '', NULL FROM p GROUP BY 1),
+f AS (SELECT *, op IN ('JUMP_FORWARD', 'JUMP_BACKWARD', 'RETURN_VALUE') OR op LIKE 'POP_JUMP%' AS ending, coalesce(lag(op IN ('JUMP_FORWARD', 'JUMP_BACKWARD', 'RETURN_VALUE') OR op LIKE 'POP_JUMP%') OVER (PARTITION BY prog ORDER BY n), true) OR op = 'FOR_ITER' AS opens FROM i),
+g AS (SELECT *, last_value(CASE WHEN opens THEN n END IGNORE NULLS) OVER (PARTITION BY prog ORDER BY n) AS start FROM f),
+j AS (SELECT DISTINCT prog, start AS src, coalesce(dest, {control_flow.EXIT}) AS dst FROM g WHERE ending UNION SELECT prog, start, n + 2 FROM g WHERE op LIKE 'POP_JUMP%' UNION SELECT prog, n, dest FROM g WHERE op = 'FOR_ITER'),
+m AS (SELECT prog, src AS n FROM j UNION SELECT prog, dst FROM j),
+b AS (SELECT prog, n, ending, sum(CASE WHEN n = 0 OR m.n IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY prog ORDER BY n) AS block FROM g LEFT JOIN m USING (prog, n)),
+c AS (SELECT prog, block, min(n) AS label, max(n) AS last, count(*) AS size, arg_max(ending, n) AS ends FROM b GROUP BY 1, 2)"""
 
 
 def _programs(spark: SparkSession, sf: str) -> DataFrame:
-    """A countdown per station, from its pace."""
-    s = table(spark, sf, "station")
-    return s.select(F.col("icao").alias("prog_id"), F.replace(F.lit(LISTING), F.lit("{limit}"), F.col("report_every").cast("string")).alias("text"))
+    """prog_id, text: the listing of every customer's program."""
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("prog"), "o_orderkey")
+    base = (F.row_number().over(W.partitionBy("prog").orderBy("o_orderkey")) - 1) * 10
+    p = o.withColumns({"base": base, "k": F.col("o_orderkey") % 5})
+    lines = lambda shape: F.concat_ws("\n", *(F.concat(F.lpad((F.col("base") + at).cast("string"), 8, " "), F.lit(f" {op}"), F.lit("") if arg is None and to is None else F.concat(F.lit(" 0 ("), F.lit(arg) if to is None else F.concat(F.lit("to "), F.greatest(F.col("base") + to, F.lit(0)).cast("string")), F.lit(")"))) for at, op, arg, to in shape))
+    text = F.lit(None).cast("string")
+    for k, shape in enumerate(SHAPES):
+        text = F.when(F.col("k") == k, lines(shape)).otherwise(text)
+    whole = p.withColumn("text", text).groupBy("prog").agg(F.array_sort(F.collect_list(F.struct("base", "text"))).alias("t"), F.max("base").alias("end"))  # one customer's orders
+    ending = F.format_string("%8d LOAD_CONST 0 (None)\n%8d RETURN_VALUE", F.col("end") + 10, F.col("end") + 12)
+    return whole.select(F.col("prog").cast("string").alias("prog_id"), F.concat_ws("\n", F.array_join(F.transform("t", lambda x: x["text"]), "\n"), ending).alias("text"))
 
 
-@query("""
-    SELECT icao AS prog_id, label, last, size FROM station, (VALUES (0, 4, 3), (6, 8, 2), (10, 26, 9), (28, 30, 2)) b(label, last, size)""")
+@query(f"WITH {INSTRUCTIONS} SELECT prog::VARCHAR AS prog_id, n::INT AS linenum, op, args FROM i")
+def program_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return control_flow.parse_listing(_programs(spark, sf)).select("prog_id", "linenum", "op", "args")
+
+
+@query(f"WITH {INSTRUCTIONS} SELECT prog::VARCHAR AS prog_id, label::INT AS label, last::INT AS last, size::INT AS size FROM c")
 def program_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return control_flow.basic_blocks(control_flow.parse_listing(_programs(spark, sf)))
 
 
-@query("""
-    SELECT icao AS prog_id, src, dst FROM station, (VALUES (0, 6), (6, 10), (6, 28), (10, 6), (28, 1919810)) e(src, dst)""")
+EDGES = """
+h AS (SELECT c.*, min(CASE WHEN ends THEN label END) OVER (PARTITION BY prog ORDER BY block ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sink, lead(label) OVER (PARTITION BY prog ORDER BY block) AS next FROM c),
+e AS (SELECT DISTINCT j.prog, coalesce(h.sink, j.src) AS src, j.dst FROM j LEFT JOIN h ON h.prog = j.prog AND h.label = j.src UNION SELECT prog, label, next FROM h WHERE NOT ends AND next IS NOT NULL)"""
+
+
+@query(f"WITH {INSTRUCTIONS}, {EDGES} SELECT prog::VARCHAR AS prog_id, src::INT AS src, dst::INT AS dst FROM e")
 def program_edges(spark: SparkSession, sf: str) -> DataFrame:
     return control_flow.flow_edges(control_flow.parse_listing(_programs(spark, sf))).select("prog_id", "src", "dst")
 
 
-@query("SELECT icao AS prog_id, 6 AS header, pos, member FROM station, (VALUES (0, 10), (1, 6)) l(pos, member)")
+@query()
 def program_loops(spark: SparkSession, sf: str) -> DataFrame:
     return control_flow.loops(control_flow.flow_edges(control_flow.parse_listing(_programs(spark, sf))))
 
@@ -462,6 +501,84 @@ def program_order(spark: SparkSession, sf: str) -> DataFrame:
     return control_flow.topological(control_flow.flow_edges(control_flow.parse_listing(_programs(spark, sf))))
 
 
+# --- views of texts, registers, disks and names
+
+
+@query("""
+    WITH h AS (SELECT line_id, hex(encode(line)) AS h FROM zspd WHERE line <> ''), r AS (SELECT line_id, h, unnest(range(0, (length(h)::BIGINT // 2 + 15) // 16)) AS row_no FROM h),
+         x AS (SELECT line_id, row_no, substr(h, row_no * 32 + 1, 32) AS x FROM r)
+    SELECT line_id, row_no, rpad(lower(regexp_replace(x, '(..)', '\\1 ', 'g')), 48, ' ') ||
+           array_to_string(list_transform(range(0, length(x)::BIGINT // 2), lambda i: CASE WHEN regexp_full_match(chr(('0x' || substr(x, i * 2 + 1, 2))::INT), '[\\p{L}\\p{Nd}²³¹¼½¾]') THEN chr(('0x' || substr(x, i * 2 + 1, 2))::INT) ELSE ' ' END), '') AS line FROM x""")
+def log_dump(spark: SparkSession, sf: str) -> DataFrame:
+    return byte_views.dump_rows(table(spark, sf, "zspd").select("line_id", F.encode("line", "UTF-8").alias("c")), "line_id", "c")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN found > 0 THEN (64 + found - 1) // 16 ELSE 1 END::INT AS line FROM (SELECT doc_id,
+        coalesce(list_position(list_transform(range(0, greatest(octet_length(encode(text)) - 64, 0)), lambda i: substr(hex(encode(text)), 129 + i * 2, 2)), '20'), 0) AS found FROM documents WHERE text IS NOT NULL)""")
+def search_after_page(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").filter("text is not null")
+    return d.select("doc_id", byte_views.search_line(F.encode("text", "UTF-8"), F.encode(F.lit(" "), "UTF-8"), 1, 3).alias("line"))
+
+
+@query("""
+    WITH k AS (SELECT p_partkey, CASE WHEN p_size >= 1 THEN p_size - 1 ELSE p_size END + 1 + 10 AS a FROM part)
+    SELECT p_partkey, (CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 40 ELSE a END - CASE WHEN CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 40 ELSE a END >= 10 THEN 10 ELSE 0 END)::INT AS line FROM k""")
+def page_keys(spark: SparkSession, sf: str) -> DataFrame:
+    go = F.when(F.col("p_partkey") % 2 == 0, (F.col("p_partkey") % 40).cast("string")).otherwise("escape")
+    keys = F.array(F.lit("up"), F.lit("down"), F.lit("page_down"), go, F.lit("page_up"))
+    return table(spark, sf, "part").select("p_partkey", byte_views.after_keys(keys, F.col("p_size")).alias("line"))
+
+
+@query("""
+    SELECT 'hard_disk' AS kind, 'sd' || lower(s_name[-1:]) AS name, s_acctbal AS temperature FROM supplier WHERE NOT regexp_matches(s_name, '[0-9]$') AND s_acctbal <> 0
+    UNION ALL SELECT 'cpu', n_name, n_regionkey::DOUBLE FROM nation WHERE n_regionkey <> 0""")
+def sensor_list(spark: SparkSession, sf: str) -> DataFrame:
+    disks = table(spark, sf, "supplier").select(F.concat(F.lit("sd"), F.lower(F.substring("s_name", -1, 1))).alias("name"), F.col("s_acctbal").alias("t"))
+    cpus = table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("t"))
+    return sensors.found_sensors(disks, cpus, "name", "t")
+
+
+@query("""
+    SELECT user_id, list_extract(string_split(line, ' '), 10) AS temperature FROM (SELECT user_id, arg_min('194 a b c d e f g h ' || event_id, event_id) FILTER (event_type = 'click') AS line FROM events GROUP BY 1)""")
+def disk_report(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.when(F.col("event_type") == "click", "194 a b  c d e f g h ").otherwise("5 a b ")
+    e = table(spark, sf, "events").select("user_id", "event_id", F.concat(head, F.col("event_id").cast("string")).alias("line"))
+    return sensors.disk_temperature(e, "user_id", "event_id", "line")
+
+
+@query("""
+    SELECT event_id, user_id FROM (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS b, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events) WHERE k = 1 OR b IS DISTINCT FROM value""")
+def changed_only(spark: SparkSession, sf: str) -> DataFrame:
+    return ordered_lists.only_changed(table(spark, sf, "events"), "user_id", "event_id", "value", CELL).select("event_id", "user_id")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 18446744073709551616::HUGEINT - p_size ELSE p_size END::DECIMAL(20,0)::VARCHAR AS v FROM part")
+def unsigned_values(spark: SparkSession, sf: str) -> DataFrame:
+    signed = F.when(F.col("p_size") % 3 == 0, -F.col("p_size")).otherwise(F.col("p_size"))
+    return table(spark, sf, "part").select("p_partkey", snapshots.unsigned_register(signed).cast("string").alias("v"))
+
+
+@query("""
+    SELECT n_name, CASE n_name WHEN 'rdi' THEN 1 ELSE list_position(['rdi', 'rsi', 'rdx', 'r10', 'r8', 'r9'], reg) END::INT AS argument_no
+    FROM (SELECT n_name, CASE n_nationkey % 8 WHEN 0 THEN 'rdi' WHEN 1 THEN 'rsi' WHEN 2 THEN 'rdx' WHEN 3 THEN 'rcx' WHEN 4 THEN 'r10' WHEN 5 THEN 'r8' WHEN 6 THEN 'r9' ELSE 'rip' END AS reg FROM nation) WHERE reg NOT IN ('rcx', 'rip')""")
+def argument_registers(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*map(F.lit, ["rdi", "rsi", "rdx", "rcx", "r10", "r8", "r9", "rip"]))
+    n = table(spark, sf, "nation").select("n_name", F.element_at(names, (F.col("n_nationkey") % 8 + 1).cast("int")).alias("reg"))
+    return snapshots.call_arguments(n, "reg", "i386:x86-64").select("n_name", F.col("argument_no").cast("int").alias("argument_no"))
+
+
+@query("""
+    SELECT d.id, s.exclude_rule IS NULL OR s.exclude_rule = '' OR NOT coalesce(regexp_matches(d.torrent_name, s.exclude_rule), false) AS chosen, NULL::VARCHAR AS error
+    FROM download_record d LEFT JOIN subscribes s ON s.feed_name = d.feed WHERE s.feed_name IS NULL OR starts_with(s.feed_name, 'a') = false
+    UNION ALL SELECT d.id, false, 'unreadable' FROM download_record d JOIN subscribes s ON s.feed_name = d.feed WHERE starts_with(s.feed_name, 'a')""")
+def entries_with_bad_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Some subscriptions get a pattern that cannot be read; only their entries fail."""
+    s = table(spark, sf, "subscribes").select(F.col("feed_name").alias("feed"), F.when(F.startswith("feed_name", F.lit("a")), F.lit("(")).otherwise(F.col("exclude_rule")).alias("rule"))
+    judged = feeds.judged_entries(table(spark, sf, "download_record").select("id", "feed", "torrent_name"), "torrent_name", s, "feed", "rule")
+    return judged.select("id", "chosen", F.when(F.col("error").isNotNull(), "unreadable").alias("error"))
+
+
 def small_executable() -> bytes:
     """A 64-bit executable of our own: two loaded segments, four sections with names."""
     names = b"\0.text\0.data\0.names\0"
@@ -483,16 +600,48 @@ def small_executable() -> bytes:
     return bytes(header) + seg + names + sec
 
 
-@query("""
-    SELECT icao AS file, idx, name, addr FROM station, (VALUES (0, '', 0), (1, '.text', 4112), (2, '.data', 12288), (3, '.names', 0)) s(idx, name, addr)""")
+def executable(number: int) -> bytes:
+    """A 64-bit executable of our own that varies with the number: one to four sections besides the empty one and the names,
+    in two loaded segments."""
+    parts = 1 + number % 4
+    names = b"\0" + b"".join(b".s%d_%d\0" % (i, number % 7) for i in range(parts)) + b".names\0"
+    starts = [names.index(b".s%d_" % i) for i in range(parts)]
+    at_names, base = 64 + 112, 0x1000 + number * 16
+    header = bytearray(64)
+    struct.pack_into("<HHIQQQIHHHHHH", header, 16, 2, 62, 1, base, 64, at_names + len(names), 0, 64, 56, 2, 64, parts + 2, parts + 1)
+    loaded = struct.pack("<IIQQQQQQ", 1, 5, 0, base, base, 0x200, 0x200, 4096) + struct.pack("<IIQQQQQQ", 1, 6, 0x200, base + 0x200, base + 0x200, 0x100, 0x180, 4096)
+    section = lambda *x: struct.pack("<IIQQQQIIQQ", *x)
+    table_ = section(*[0] * 10) + b"".join(section(starts[i], 1, 6, base + i * 0xF0, 0x10, 0x20, 0, 0, 16, 0) for i in range(parts)) + section(names.index(b".names"), 3, 0, 0, at_names, len(names), 0, 0, 1, 0)
+    return bytes(header) + loaded + names + table_
+
+
+def _executables(spark: SparkSession, sf: str) -> DataFrame:
+    """file, c: an executable per customer."""
+
+    def build(batches):
+        for pdf in batches:
+            yield pdf.assign(c=[executable(int(k)) for k in pdf["file"]])
+
+    return table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("file")).mapInPandas(build, "file long, c binary")
+
+
+_SECTIONS = """
+x AS (SELECT c_custkey::BIGINT AS file, 1 + c_custkey % 4 AS parts, 4096 + c_custkey * 16 AS base FROM customer),
+y AS (SELECT file, parts, base, unnest(range(0, parts)) AS i FROM x)"""
+
+
+@query(f"""
+    WITH {_SECTIONS} SELECT file, (i + 1)::INT AS idx, '.s' || i || '_' || file % 7 AS name, (base + i * 240)::INT AS addr FROM y
+    UNION ALL SELECT file, 0, '', 0 FROM x UNION ALL SELECT file, (parts + 1)::INT, '.names', 0 FROM x""")
 def executable_sections(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "station").select(F.col("icao").alias("file"), F.lit(small_executable()).alias("c"))
-    return layouts.sections(layouts.executables(files, "file", "c"), "file").select("file", "idx", "name", F.col("addr").cast("int").alias("addr"))
+    found = layouts.sections(layouts.executables(_executables(spark, sf), "file", "c"), "file")
+    return found.select("file", "idx", "name", F.col("addr").cast("int").alias("addr"))
 
 
-@query("""
-    SELECT icao AS file, idx, sections FROM station, (VALUES (0, '.text'), (1, '.data')) s(idx, sections)""")
+@query(f"""
+    WITH {_SECTIONS} SELECT file, s.idx, coalesce(string_agg('.s' || i || '_' || file % 7, ',' ORDER BY i), '') AS sections
+    FROM x CROSS JOIN (VALUES (0, 0, 512), (1, 512, 896)) s(idx, low, high) LEFT JOIN y USING (file, parts, base) WHERE TRUE AND (i IS NULL OR (i * 240 >= low AND i * 240 + 32 <= high)) GROUP BY file, s.idx
+    UNION ALL SELECT file, 1, '' FROM x WHERE parts < 4""")
 def executable_segments(spark: SparkSession, sf: str) -> DataFrame:
-    files = table(spark, sf, "station").select(F.col("icao").alias("file"), F.lit(small_executable()).alias("c"))
-    found = layouts.sections_in_segments(layouts.executables(files, "file", "c"), "file")
+    found = layouts.sections_in_segments(layouts.executables(_executables(spark, sf), "file", "c"), "file")
     return found.select("file", "idx", F.array_join("sections", ",").alias("sections"))

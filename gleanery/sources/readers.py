@@ -73,9 +73,10 @@ def staged_feed(spark: SparkSession, path: str, row_tag: str = "entry") -> DataF
     return raw.select("id", F.transform("link", lambda x: F.struct(x["_type"].alias("type"), x["_href"].alias("href"))).alias("links"))
 
 
-def write_record(rows: DataFrame, path: str) -> None:
+def write_record(rows: DataFrame, path: str, partition_by: str | None = None) -> None:
     """Append to a record table."""
-    rows.write.mode("append").parquet(path)
+    writer = rows.write.mode("append")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
 
 def read_record(spark: SparkSession, path: str, schema: str = "torrent_name string, torrent_url string") -> DataFrame:

@@ -8,13 +8,40 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from gleanery.operators.feeds import new_downloads
 from gleanery.sources.readers import read_record, write_record
 
 Deliver = Callable[[DataFrame], DataFrame]
-RECORD = "torrent_name string, torrent_url string"
+RECORD = "torrent_name string, torrent_url string, part int"
+PARTS = 256  # of the record table, by the address's hash; a poll reads only those that its entries fall into
+
+
+def part_of(address: Column) -> Column:
+    return F.when(address.isNotNull(), F.pmod(F.xxhash64(address), F.lit(PARTS)).cast("int"))
+
+
+class PollErrors(StreamingQueryListener):
+    """Keeps the errors that ended polls, and the number of polls that went well; a failing poll ends its own query only."""
+
+    def __init__(self) -> None:
+        self.errors: list[str] = []
+        self.polls = 0
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.polls += 1
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if event.exception:
+            self.errors.append(event.exception)
 
 
 def delivered(rows: DataFrame) -> DataFrame:
@@ -23,10 +50,13 @@ def delivered(rows: DataFrame) -> DataFrame:
 
 
 def record_batch(batch: DataFrame, record_path: str, order: str, deliver: Deliver = delivered) -> None:
-    record = read_record(batch.sparkSession, record_path, RECORD)
+    parts = batch.select(part_of(F.col("torrent_url")).alias("part")).distinct().filter("part is not null")
+    touched = [r[0] for r in parts.collect()]  # at most PARTS
+    record = read_record(batch.sparkSession, record_path, RECORD).filter(F.col("part").isin(touched))
     new = new_downloads(batch, record, "torrent_url", order)
     sent = deliver(new).persist()
-    write_record(sent.filter("status = 200").select("torrent_name", "torrent_url"), record_path)
+    done = sent.filter("status = 200").select("torrent_name", "torrent_url", part_of(F.col("torrent_url")).alias("part"))
+    write_record(done, record_path, "part")
     sent.unpersist()
 
 

@@ -140,7 +140,7 @@ def rates(sized: DataFrame, targets: DataFrame) -> DataFrame:
     held = sized.filter("tokens > 0").groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("held"))
     t = targets.select(
         F.lower(F.trim("source")).alias("source"), F.col("target_share").alias("share"), F.greatest(F.coalesce("max_repeats", F.lit(0)), F.lit(0)).alias("cap")
-    ).filter("share > 0 and cap > 0").dropDuplicates(["source"])
+    ).filter("share > 0 and cap > 0").groupBy("source").agg(F.max("share").alias("share"), F.min("cap").alias("cap"))
     both = t.join(held, "source")
     total = both.agg(F.min(F.col("held") * F.col("cap") / F.col("share"))).first()[0] or 0.0
     return both.withColumn("rate", F.least(F.lit(float(total)) * F.col("share") / F.col("held"), F.col("cap").cast("double")))
@@ -162,7 +162,7 @@ def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", group: in
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """source, target_share, actual_share, documents (distinct), uses, tokens, most (uses of a record), max_repeats."""
-    t = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").dropDuplicates(["source"])
+    t = targets.select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats").groupBy("source").agg(F.max("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     per = mixed.filter("times_used > 0").groupBy("source").agg(
         F.count("*").alias("documents"), F.sum("times_used").alias("uses"), F.sum(F.col("times_used") * F.col("tokens")).alias("tokens"), F.max("times_used").alias("most")
     )

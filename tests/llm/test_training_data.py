@@ -470,3 +470,12 @@ def test_queries_with_sql(spark, sf):
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.ORACLES) - {"p7_fill", "p8_shares"}))
 def test_queries_run(spark, sf, name):
     assert Q.QUERIES[name](spark, sf).count() > 0
+
+
+def test_a_model_is_saved_and_loaded(spark):
+    model = G.fit(["Übergrößenträger für Äpfel", "façade déjà vu", "naïve coöperation", "São João é aqui"] * 3)
+    path = scratch_path(spark, "model.json")
+    G.save_model(spark, model, path)
+    again = G.load_model(spark, path)
+    keys = np.array([(1 << G.SHIFT) | 0xE9, 0xE9, 0x1F600])
+    assert (model.emissions(keys) == again.emissions(keys)).all() and again.enter == model.enter

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from gleanery.operators.joins import numbered
 from gleanery.session import materialize
 
 MINUTES = 1440
@@ -71,20 +72,6 @@ def missing_slots(slots: DataFrame, closure_days: int = 30) -> DataFrame:
     return same_day.unionByName(rest).unionByName(start).unionByName(whole)
 
 
-def numbered_rows(df: DataFrame, order: str, into: str) -> DataFrame:
-    """df with numbers from 1 in order of a column; sorted by ranges, so no task holds all rows."""
-    ranged = materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()), "ranged")
-    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # one per partition
-    base, offsets = 0, []
-    for p in sorted(sizes):
-        offsets.append((p, base))
-        base += sizes[p]
-    start = F.lit(0)
-    for p, n in offsets:
-        start = F.when(F.col("_p") == p, F.lit(n)).otherwise(start)
-    return ranged.withColumn(into, (F.row_number().over(W.partitionBy("_p").orderBy(order)) + start).cast("int")).drop("_p")
-
-
 def slot_time(day: Column, minute: Column) -> Column:
     return F.timestamp_seconds(day.cast("long") * 86400 + minute.cast("long") * 60)
 
@@ -96,7 +83,7 @@ def factorise(slots: DataFrame, missing: DataFrame, column_minutes: int, rank: i
     column = lambda: F.floor((F.col("day").cast("long") * MINUTES + F.col("minute")) / column_minutes).cast("int")
     plausible = slots.filter(F.abs("value") <= bound)
     means = plausible.groupBy("source").agg(F.avg("value").alias("mean"), F.count("*").alias("held"))
-    ids = materialize(numbered_rows(means, "source", "row"), "sources")
+    ids = materialize(numbered(means, "source", "row"), "sources")
     cells = materialize(
         plausible.join(ids, "source").groupBy("row", column().alias("column")).agg(F.avg(F.col("value") - F.col("mean")).cast("float").alias("cell")), "cells"
     )

@@ -4,7 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import arithmetic as A, byte_views as B, feeds, grid, layouts as L, malformed, ordered_lists as O, references as R, sampling, sensors, snapshots as V
+from gleanery.operators import arithmetic as A, byte_views as B, feeds, joins as J, layouts as L, malformed, ordered_lists as O, references as R, sampling, sensors, snapshots as V
 from gleanery.streaming import polling
 
 
@@ -131,7 +131,7 @@ def test_late_rows_and_errors(spark, tmp_path):
 
 def test_numbers_by_ranges(spark):
     df = spark.createDataFrame([(f"s{k:03d}",) for k in range(100)], "s string")
-    got = grid.numbered_rows(df, "s", "n").orderBy("s").collect()
+    got = J.numbered(df, "s", "n").orderBy("s").collect()
     assert [r.n for r in got] == list(range(1, 101))
 
 
@@ -141,3 +141,10 @@ def test_chunks_in_several_blocks(spark, monkeypatch):
     chunks = spark.createDataFrame([("f", n, bytearray(text[n * 7 : n * 7 + 7])) for n in range(-(-len(text) // 7))], "path string, chunk_no long, content binary")
     rows = malformed.split_chunks(chunks).orderBy("record_at").collect()
     assert [r.fields for r in rows] == [[str(k), 'a "b"\nc', str(k)] for k in range(40)]
+
+
+def test_long_ranges_are_few_cells(spark):
+    ranges = spark.createDataFrame([(0, 2**47), (5, 5), (2**50, 2**50 + 3), (9, 1)], "lo long, hi long")
+    points = spark.createDataFrame([(0,), (2**47,), (2**47 + 1,), (2**50 + 3,), (2**50 + 4,), (None,)], "v long")
+    assert sorted(r.v for r in J.in_ranges(points, ranges, "v", "lo", "hi", 1 << 20).collect()) == [0, 2**47, 2**50 + 3]
+    assert {r.v for r in J.in_ranges(points, ranges, "v", "lo", "hi", 1 << 20, keep=False).collect()} == {2**47 + 1, 2**50 + 4, None}

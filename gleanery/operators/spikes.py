@@ -107,9 +107,10 @@ def spike_sizes(x: np.ndarray, signal: np.ndarray, series: np.ndarray, jump: flo
 def _rows(kind: str, source, field: str, block, t, t_end=None, n=None, size=None, first=None, last=None) -> pd.DataFrame:
     count = len(t) if t is not None else len(size)
     none = lambda v, kind: v if v is not None else pd.array([None] * count, dtype=kind)
-    return pd.DataFrame(
+    out = pd.DataFrame(
         {"kind": kind, "source": source, "field": field, "block": none(block, "Int32"), "t": none(t, "Int64"), "t_end": none(t_end, "Int64"), "n": none(n, "Int64"), "size": none(size, "Float64"), "first": none(first, "boolean"), "last": none(last, "boolean")}
     )
+    return out.astype({"block": "Int32", "t": "Int64", "t_end": "Int64", "n": "Int64", "size": "Float64", "first": "boolean", "last": "boolean"})
 
 
 def inside_blocks(pdf: pd.DataFrame, limits: Limits) -> Iterator[pd.DataFrame]:

@@ -26,14 +26,19 @@ ELF_SECTION: Layout = [
 CONTAINER_HEADER: Layout = [("magic", 0, 4), ("checksum", 4, 4), ("size", 8, 4), ("count", 12, 4)]
 CONTAINER_ENTRY: Layout = [("offset", 32, 4), ("length", 36, 4), ("checksum", 40, 4)]
 SEGMENT_SIZE, SECTION_SIZE, NAME_SIZE = 56, 64, 32
+_LOW_HALVES = 0x0F0F0F0F0F0F0F0F
 
 
 def unsigned(content: Column, at: Column, size: int) -> Column:
     """A little-endian unsigned number."""
     piece = F.substring(content, at + 1, F.lit(size))
-    digits = F.array_join(F.reverse(F.regexp_extract_all(F.hex(piece), F.lit("(..)"), F.lit(1))), "")
-    number = F.conv(digits, 16, 10).cast("decimal(20,0)")
-    return F.when(F.length(piece) == size, number if size == 8 else number.cast("long"))
+    swapped = F.conv(F.reverse(F.hex(piece)), 16, -10).cast("long")  # bytes in order, the halves of each exchanged
+    n = F.shiftleft(swapped.bitwiseAND(_LOW_HALVES), 4)
+    n = n.bitwiseOR(F.shiftrightunsigned(swapped, 4).bitwiseAND(_LOW_HALVES))
+    if size == 8:
+        whole = n.cast("decimal(20,0)")
+        n = F.when(n < 0, whole + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(whole).cast("decimal(20,0)")
+    return F.when(F.length(piece) == size, n)
 
 
 def fields(content: Column, base: Column, layout: Layout) -> Column:
@@ -80,12 +85,18 @@ def segments(parsed: DataFrame, key: str) -> DataFrame:
 
 
 def sections_in_segments(parsed: DataFrame, key: str) -> DataFrame:
-    """key, idx of each segment, names of the sections inside it by address (both tables are of one file, hence small)."""
-    seg = segments(parsed, key).select(key, "idx", F.col("vaddr").alias("_lo"), (F.col("vaddr") + F.col("memsz")).alias("_hi"))
-    sec = sections(parsed, key).select(F.col(key).alias("_k"), F.col("idx").alias("_i"), "name", F.col("addr").alias("_b"), (F.col("addr") + F.col("size")).alias("_e"))
-    inside = (F.col(key) == F.col("_k")) & (F.col("_b") >= F.col("_lo")) & (F.col("_e") <= F.col("_hi"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "name"))))
-    return seg.join(sec, inside, "left").groupBy(key, "idx").agg(F.transform(listed, lambda x: x["name"]).alias("sections"))
+    """key, idx of each segment, names of the sections inside it by number. Both tables are of one file, hence of one row:
+    nothing is joined or shuffled, and names are read for sections inside a segment alone."""
+    names = F.get("sections", F.col("header.shstrndx").cast("int"))["offset"].cast("int")
+
+    def listed(g: Column, i: Column) -> Column:
+        inside = F.filter("sections", lambda s: (s["addr"] >= g["vaddr"]) & (s["addr"] + s["size"] <= g["vaddr"] + g["memsz"]))
+        return F.struct(i.alias("idx"), F.transform(inside, lambda s: text_at(F.col("content"), F.col("_names") + s["name_at"].cast("int"))).alias("sections"))
+
+    t = parsed.select(key, "content", "segments", "sections", names.alias("_names"))
+    # The outer form, since for the other Spark infers a filter that reads all tables of the file once more.
+    each = t.select(key, F.explode_outer(F.transform("segments", listed)).alias("_s"))
+    return each.filter(F.col("_s").isNotNull()).select(key, F.col("_s.idx").alias("idx"), F.coalesce("_s.sections", F.array().cast("array<string>")).alias("sections"))
 
 
 def segment_gaps(parsed: DataFrame, key: str, load: int = 1, executable: int = 1) -> DataFrame:

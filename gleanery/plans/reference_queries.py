@@ -622,7 +622,9 @@ def _executables(spark: SparkSession, sf: str) -> DataFrame:
         for pdf in batches:
             yield pdf.assign(c=[executable(int(k)) for k in pdf["file"]])
 
-    return table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("file")).mapInPandas(build, "file long, c binary")
+    numbers = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("file"))
+    spread = numbers.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a few MB of numbers become hundreds of MB
+    return spread.mapInPandas(build, "file long, c binary")
 
 
 _SECTIONS = """

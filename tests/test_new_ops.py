@@ -148,3 +148,24 @@ def test_long_ranges_are_few_cells(spark):
     points = spark.createDataFrame([(0,), (2**47,), (2**47 + 1,), (2**50 + 3,), (2**50 + 4,), (None,)], "v long")
     assert sorted(r.v for r in J.in_ranges(points, ranges, "v", "lo", "hi", 1 << 20).collect()) == [0, 2**47, 2**50 + 3]
     assert {r.v for r in J.in_ranges(points, ranges, "v", "lo", "hi", 1 << 20, keep=False).collect()} == {2**47 + 1, 2**50 + 4, None}
+
+
+def test_segments_list_their_sections_without_a_join(spark, sf):
+    from gleanery.plans import reference_queries as Q
+
+    plan = Q.executable_segments(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan and plan.count("MapInPandas") == 1
+    rows = [(k, bytearray(Q.executable(k))) for k in range(9)] + [(100, bytearray(b"\x7fELF")), (101, None)]
+    parsed = L.executables(spark.createDataFrame(rows, "file long, c binary"), "file", "c")
+    got = {(r.file, r.idx): r.sections for r in L.sections_in_segments(parsed, "file").collect()}
+    part = lambda k, *at: [f".s{i}_{k % 7}" for i in at if i <= k % 4]
+    assert got == {(k, s): part(k, 0, 1, 2) if s == 0 else part(k, 3) for k in range(9) for s in (0, 1)}
+
+
+def test_unsigned_fields_of_all_sizes(spark):
+    data = bytes([0xA1, 0xB2, 0xC3, 0x04, 0x50, 0x0F, 0xF0, 0x80, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0xFF, 0x00])
+    df = spark.createDataFrame([(bytearray(data),), (bytearray(),), (None,)], "c binary")
+    asked = [(at, size) for size in (1, 2, 4, 8) for at in range(0, 17)]
+    rows = df.select(*(L.unsigned(F.col("c"), F.lit(at), size).alias(f"{at}_{size}") for at, size in asked)).collect()
+    assert [None if x is None else int(x) for x in rows[0]] == [int.from_bytes(data[at : at + size], "little") if at + size <= 17 else None for at, size in asked]
+    assert set(rows[1]) == set(rows[2]) == {None}

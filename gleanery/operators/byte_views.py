@@ -1,6 +1,6 @@
 """Views over bytes: hex rows, byte classes, searches, C strings, key streams.
 
-All but the chunk search are expressions over one BINARY value. `find_in_chunks` searches contents cut into chunks, across
+All but the chunk search are expressions over one BINARY value, `xored` in Python. `find_in_chunks` searches contents cut into chunks, across
 chunk borders, without putting them together.
 
 Special input: null gives null, empty bytes give no rows; an empty pattern or one that is absent is at -1; a start beyond
@@ -9,6 +9,8 @@ the end finds nothing.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROW = 16
@@ -128,6 +130,23 @@ def xor_stream(content: Column, key: list[int]) -> Column:
     return F.transform(byte_numbers(content), lambda b, i: b.bitwiseXOR(F.get(k, (i + F.shiftright(i, 4)).bitwiseAND(15))))
 
 
+def xored(content: Column, key: list[int]) -> Column:
+    """BINARY: the bytes of `xor_stream`, in Arrow batches. The stream repeats after 256 bytes."""
+    stream = np.array([key[(i + (i >> 4)) & 15] & 255 for i in range(256)], np.uint8)
+
+    def xor(value: bytes | None) -> bytes | None:
+        if value is None:
+            return None
+        data = np.frombuffer(value, np.uint8)
+        return (data ^ np.resize(stream, len(data))).tobytes()
+
+    @F.arrow_udf("binary")
+    def batch(values: pa.Array) -> pa.Array:
+        return pa.array([xor(v.as_buffer() if v.is_valid else None) for v in values], pa.binary())
+
+    return batch(content)
+
+
 def leading_run(content: Column, byte: int = 0) -> Column:
     """How many equal bytes stand at the beginning."""
     return F.length(F.regexp_extract(F.hex(content), f"^(?:{byte:02X})*+", 0)) / 2

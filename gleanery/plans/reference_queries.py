@@ -336,7 +336,7 @@ def find_offset(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, array_to_string(list_transform(range(0, length(h)::BIGINT // 2), lambda i: printf('%02X', xor(('0x' || substr(h, i * 2 + 1, 2))::INT, {KEY}[((i + (i >> 4)) & 15) + 1]))), '') AS hex FROM h""")
 def xor_texts(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("c"))
-    return d.select("doc_id", F.array_join(F.transform(byte_views.xor_stream(F.col("c"), KEY), lambda b: F.lpad(F.hex(b), 2, "0")), "").alias("hex"))
+    return d.select("doc_id", F.hex(byte_views.xored(F.col("c"), KEY)).alias("hex"))
 
 
 @query("""

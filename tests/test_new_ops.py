@@ -169,3 +169,19 @@ def test_unsigned_fields_of_all_sizes(spark):
     rows = df.select(*(L.unsigned(F.col("c"), F.lit(at), size).alias(f"{at}_{size}") for at, size in asked)).collect()
     assert [None if x is None else int(x) for x in rows[0]] == [int.from_bytes(data[at : at + size], "little") if at + size <= 17 else None for at, size in asked]
     assert set(rows[1]) == set(rows[2]) == {None}
+
+
+def test_xored_bytes_are_those_of_the_stream(spark):
+    key = [7 * i + 3 for i in range(16)]
+    values = [None, b"", b"\x00", bytes(range(256)) * 3 + b"end", "Größe".encode()]
+    df = spark.createDataFrame([(i, None if v is None else bytearray(v)) for i, v in enumerate(values)], "i int, c binary")
+    got = df.select("i", B.xored(F.col("c"), key).alias("x"), B.xor_stream(F.col("c"), key).alias("s"), B.xored(B.xored(F.col("c"), key), key).alias("again")).orderBy("i").collect()
+    assert [r.x if r.x is None else list(r.x) for r in got] == [r.s for r in got]
+    assert [r.again if r.again is None else bytes(r.again) for r in got] == values
+
+
+def test_xor_texts_makes_no_array_per_byte(spark, sf):
+    from gleanery.plans import reference_queries as Q
+
+    plan = Q.xor_texts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "transform(" not in plan and "conv(" not in plan

@@ -456,6 +456,36 @@ def test_garbled_table(spark):
     assert G.find_garbled(df.filter("doc_id < 0")).count() == 0
 
 
+def test_all_documents_are_counted(spark):
+    """One document in 3,000 holds a character of its own; wherever it stands, the model has seen it."""
+    texts = [f"Zeile {i} für {i}" for i in range(3000)]
+    for k, c in enumerate("ѪѬѮѰ"):
+        texts[k * 997] += f" a{c}"
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = G.train(df)
+    assert {ord(c) for c in "ѪѬѮѰ"} <= set(model.char_keys.tolist())
+    counted = G.tallies(texts, list(range(3000)))[0]
+    assert counted[1].sum() == 3004
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(["é", "ß", "ж", "気", "。", "a", "Z ", "plain text ", "\n", "~|", "µ"]), max_size=25), st.sampled_from(G.PAIRS), st.booleans())
+def test_shortened_texts_count_the_same(parts, pair, strict):
+    text = "".join(parts)
+    short = G.shortened(text)
+    assert G.observed(short)[1].tolist() == G.observed(text)[1].tolist()
+    assert G.observed(G.garble(short, *pair, strict))[1].tolist() == G.observed(G.garble(text, *pair, strict))[1].tolist()
+
+
+def test_documents_said_to_be_clean_are(model):
+    docs = [G.observed(t)[1] for t in [*corpus(60, 11), *(G.garble(t, "utf-8", "cp1252", False) for t in corpus(60, 12))]]
+    sure = model.surely_clean(docs)
+    out = [None] * len(docs)
+    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+    model._label(docs, order, out)
+    assert not any(out[i].any() for i in np.flatnonzero(sure)) and 0 < sure.sum() < len(docs)
+
+
 # --- the queries on the test tables
 
 

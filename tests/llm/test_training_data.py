@@ -263,6 +263,38 @@ def test_many_slips_of_one_name_in_a_batch(spark, monkeypatch):
     assert len(rows) > 20 and got == {r[0] for r in rows[1:]}
 
 
+def test_many_names_of_equal_attributes_in_a_batch(spark, monkeypatch):
+    """More than are compared at once: through their bands, and where these are crowded, by representatives."""
+    monkeypatch.setattr(R, "PEERS", 5)
+    monkeypatch.setattr(R, "NEIGHBOURS", 3)
+    title = "wandering lanterns of the northern quarry"
+    rows = [(i, f"[G] {title[:i] + title[i + 1 :]} - 01 [720p][AVC]", None, 1) for i in range(1, 40) if " " not in title[i - 1 : i + 2]]
+    rows += [(100 + i, f"[G] {t} - 01 [720p][AVC]", None, 1) for i, t in enumerate(["quiet harbour of glass", "quite harbour of glass", "seven unlike copper keys"])]
+    got = {(r.id_first, r.id_again) for r in R.repeats(spark.createDataFrame(rows, SCHEMA), "torrent_url", "torrent_name", "batch_no").collect()}
+    assert got == {(rows[0][0], r[0]) for r in rows[1:-3]} | {(100, 101)}
+
+
+def test_readable_names_are_held_once_and_compared_with_all_of_their_attributes(spark):
+    """One row a name, and every slip is found, also at the limit of similarity (bands missed some of these)."""
+    rng = random.Random(5)
+    titles = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(15)) for _ in range(300)]
+    far = []
+    for t in titles:
+        t, places = list(t), rng.sample(range(30), 6)
+        for i in places:
+            t[i] = "x"
+        far.append("".join(t))
+    name = "[G] {} - {:02d} [720p][AVC]".format
+    old = [(i, name(t, i % 30), None, 0) for i, t in enumerate(titles)] + [(600, "Complete collection of strange tales, disc 2", None, 0)]
+    new = [(300 + i, name(t, i % 30), None, 1) for i, t in enumerate(far)]
+    index = R.ReleaseIndex(spark, scratch_path(spark, "held-once-test"), 4)
+    index.accept(spark.createDataFrame(old, SCHEMA), "torrent_url", "torrent_name")
+    assert index.store.tables("banded")[0].count() == 300 + index.bands
+    got = {tuple(r) for r in index.add(spark.createDataFrame(new, SCHEMA), "torrent_url", "torrent_name").collect()}
+    index.destroy()
+    assert got == {(i, 300 + i) for i in range(300)}
+
+
 def edited(text, count, rng):
     for _ in range(count):
         i, c = rng.randrange(len(text)), rng.choice("abcdefghijklmnopqrstuvwxyz")
